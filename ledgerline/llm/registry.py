@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sharding", "quality", "packing", "secrets", "simhash", "bpe")
+MODULES = ("sharding", "toxicity", "quality", "packing", "secrets", "simhash", "bpe")
 
 
 def _merged(name: str) -> dict:
