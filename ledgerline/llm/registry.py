@@ -12,8 +12,10 @@ def _merged(name: str) -> dict:
 
 
 def queries() -> dict:
-    return _merged("QUERIES")
+    pipeline = import_module("corpus_pipeline")
+    return _merged("QUERIES") | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return _merged("ORACLE_SQL")
+    pipeline = import_module("corpus_pipeline").ORACLE_SQL
+    return _merged("ORACLE_SQL") | ({"pipeline": pipeline} if pipeline else {})

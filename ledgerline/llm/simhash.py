@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -154,6 +154,19 @@ def components(fps: DataFrame, bits: int = 2, key: str = "doc_id") -> DataFrame:
     return fps.join(named, "fp").select(key, "fp", "component_id")
 
 
+def representatives(docs: DataFrame, fps: DataFrame, bits: int = 2, key: str = "doc_id") -> DataFrame:
+    """One row of ``docs`` for each component, that of the smallest key; of rows that share this key, the one with the smallest text hash.
+
+    ``fps`` are the rows of ``fingerprints(docs)``. Texts are shuffled once, by key. Rows with a null key name no
+    document: of those with equal texts one stays.
+    """
+    named = components(fps, bits, key)
+    drop = named.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__key")).distinct()
+    kept = docs.join(drop.hint("shuffle_hash"), F.col(key) == F.col("__key"), "left_anti")
+    same = Window.partitionBy(key, F.when(F.col(key).isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"))
+    return kept.withColumn("__copy", F.row_number().over(same)).where("__copy = 1").drop("__copy")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and link components of all documents; null and wordless texts have fingerprint 0 and are linked like any other."""
     fps = checkpoint(fingerprints(table(spark, sf_dir, "documents")))
