@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sharding", "linededup", "toxicity", "quality", "warc", "packing", "secrets", "simhash", "bpe")
+MODULES = ("sharding", "linededup", "toxicity", "search", "quality", "warc", "packing", "secrets", "simhash", "bpe")
 
 
 def _merged(name: str) -> dict:
