@@ -238,7 +238,11 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings in all documents: counts and digest of the base scan, and all spans. Null: empty."""
     found = scan(table(spark, sf_dir, "documents"))
     base = F.filter("findings", lambda x: x["base"])
-    counts = [F.size(F.filter("findings", lambda x, k=k: x["base"] & (x["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in KINDS]
     return found.select("doc_id", *counts, F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("findings")).alias("spans"))
 
 
