@@ -263,7 +263,7 @@ def multiset_insert(spark, sf_dir):
     return both.df.groupBy(*both.keys).agg(F.count("*").alias("copies"))
 
 
-@query("SELECT l_orderkey, l_linenumber, count(*) - CASE WHEN l_orderkey % 2 = 0 THEN 1 ELSE 0 END AS copies FROM lineitem GROUP BY ALL HAVING copies > 0")
+@query("SELECT * FROM (SELECT l_orderkey, l_linenumber, count(*) - CASE WHEN l_orderkey % 2 = 0 THEN 1 ELSE 0 END AS copies FROM lineitem GROUP BY l_orderkey, l_linenumber) WHERE copies > 0")
 def remove_one(spark, sf_dir):
     items = Ordered(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), ("l_orderkey", "l_linenumber"))
     left = items.remove(items.df.where("l_orderkey % 2 = 0").distinct())
