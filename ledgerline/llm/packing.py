@@ -1,12 +1,14 @@
 """Packing documents into sequences: first-fit decreasing over a tournament tree, in randomised groups.
 
-Token ids come from a word-level BPE behind a bounded cache of white-space-delimited chunks; every id ends up in exactly
+Token ids come from a word-level BPE behind a bounded cache of chunks between white space; every id ends up in exactly
 one piece of at most ``capacity`` ids. Full pieces are sequences of their own. The others are dealt at random into
 groups of about ``group_rows``, and each group is packed alone, so that no task grows with the corpus.
 """
 
 from __future__ import annotations
 
+import gc
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,34 +24,75 @@ from .common import checkpoint, table
 
 CAPACITY = 2048
 END_ID = 1
+#: Marks that the tokenizer keeps apart from a word before them, and where the Latin letters end that NFC leaves alone.
+MARKS, LATIN_END = "!#$%&()*+,-./:;<=>?@[]^_`{|}~\"\\", "\u0250"
 
 
 class ChunkCache(dict):
-    """Chunk to its ids as little-endian bytes; cleared when ``most`` chunks are held, long chunks are not held."""
+    """Chunk to its ids as little-endian bytes, in two generations of ``most`` chunks: what is used moves to the newer one, the older one is let go."""
 
-    def __init__(self, path: str, most: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 300_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.most, self.longest = Tokenizer.from_file(path), most, longest
+        self.older: dict[str, bytes] = {}
+        with open(path) as f:
+            bare = json.load(f)
+        pieces = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        self.bare = Tokenizer.from_str(json.dumps(bare | {"normalizer": None, "pre_tokenizer": pieces, "added_tokens": []}))
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(chunk) <= self.longest:
-            if len(self) >= self.most:
-                self.clear()
             self[chunk] = ids
         return ids
 
+    def learn(self, chunks: set[str]) -> None:
+        """Encodes the unknown ones of ``chunks`` together; many of a corpus's chunks occur once, and a call for each would cost most of the time.
+
+        A Latin word and the marks behind it are pieces of their own to the tokenizer. So a word is lower-cased here and
+        goes through the merges alone, once for all its spellings; whatever else a chunk is, the whole tokenizer takes.
+        """
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        new = chunks.difference(self.keys(), self.older.keys())
+        plain, other = [], []
+        for c in new:
+            word = c.rstrip(MARKS)
+            lower = word.lower()
+            if lower.isalpha() and (c.isascii() or (word.isalpha() and max(c) < LATIN_END)):
+                plain.append((c, lower, c[len(word) :]))
+            else:
+                other.append(c)
+        known = dict(self._encoded(self.bare, list({p[1] for p in plain if len(p[1]) <= self.longest})))
+        self.update(self._encoded(self.tokenizer, [*{p[2] for p in plain}, *(c for c in other if len(c) <= self.longest)]))
+        self.update((c, known[word] + self[marks]) for c, word, marks in plain if len(word) <= self.longest)
+
+    def _encoded(self, tokenizer, words: list[str], step: int = 20_000) -> Iterator[tuple[str, bytes]]:
+        for at in range(0, len(words), step):
+            part = words[at : at + step]
+            made = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            counts = np.bincount(np.array(made.word_ids, dtype=np.int64), minlength=len(part))
+            ends = (4 * np.cumsum(counts)).tolist()
+            data = np.array(made.ids, dtype="<u4").tobytes()
+            yield from zip(part, (data[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True)
+
 
 @lru_cache(4)
 def _cache(path: str) -> ChunkCache:
     return ChunkCache(path)
 
 
-def token_bytes(text: str, path: str) -> bytes:
-    """Ids of a text, 4 bytes each. The tokenizer drops white space and never looks across a space or a line's end, so chunks between these encode alone."""
-    return b"".join(map(_cache(path).__getitem__, text.replace("\n", " ").split(" ")))
+def token_bytes(texts: list[str], path: str) -> list[bytes]:
+    """Ids of each text, 4 bytes each. The tokenizer drops white space and never looks across a space or a line's end, so chunks between these encode alone."""
+    cache = _cache(path)
+    parted = [t.replace("\n", " ").split(" ") for t in texts]
+    cache.learn(set().union(*parted))
+    return [b"".join(map(cache.__getitem__, chunks)) for chunks in parted]
 
 
 def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, text: str = "text", key: str = "doc_id", ids: bool = False) -> DataFrame:
@@ -61,11 +104,18 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, text: str = "text
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # the millions of strings here hold no cycles, and walking them costs more than making them
+        try:
+            yield from cut(batches)
+        finally:
+            gc.enable()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _small(whole):
+            for batch in _small(whole, 4 << 20):
                 at, start, length, crc, total, own = [], [], [], [], [], []
-                for i, t in enumerate(batch.column(1).fill_null("").to_pylist()):
-                    data = token_bytes(t, path) + end
+                for i, own_ids in enumerate(token_bytes(batch.column(1).fill_null("").to_pylist(), path)):
+                    data = own_ids + end
                     n = len(data) // 4
                     for a in range(0, n, capacity):
                         b = min(n, a + capacity)
