@@ -25,9 +25,8 @@ def from_fixed(data: Column, signed: bool = True) -> Column:
     unsigned = F.conv(F.hex(data), 16, 10).cast("decimal(20,0)")
     if not signed:
         return unsigned
-    bits = F.octet_length(data) * 8
-    span = F.pow(F.lit(2).cast("decimal(20,0)"), bits).cast("decimal(38,0)")
-    return F.when(unsigned >= span / 2, unsigned - span).otherwise(unsigned).cast("long")
+    span = F.coalesce(*(F.when(F.octet_length(data) == n, F.lit(str(1 << (8 * n))).cast("decimal(21,0)")) for n in range(1, 9)))
+    return F.when(unsigned * 2 >= span, unsigned - span).otherwise(unsigned).cast("long")
 
 
 def zigzag(value: Column) -> Column:
