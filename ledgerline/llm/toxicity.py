@@ -32,8 +32,10 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 SEPARATORS = set("._-*~^'`,:;/\\·•")
 #: Costs of the channel, in nats: a substitution, a dropped separator, a dropped repetition.
 SUBSTITUTED, DROPPED, COLLAPSED = 1.0, 0.5, 0.5
+#: What it costs to take a space between single letters for a real one.
+KEPT = 1.5
 EDGES = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum()) + "«»¿¡“”‘’„…–—"
-SPACED = re.compile(r"(?<!\S)\S(?: +\S){2,}(?!\S)")
+SPACED = re.compile(r"(?<!\S)[\w@$](?: +[\w@$]){2,}(?!\S)")
 PREFIXES = (3, 4, 5, 6, 7, 8)
 
 
@@ -85,7 +87,9 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     out: list[list[tuple[str, float]]] = []
     for i, c in enumerate(token):
         options = [(c, 0.0)] if c in NUMBER else [(x, SUBSTITUTED) for x in LEET.get(c, "")]
-        if c in SEPARATORS or unicodedata.category(c) in ("Cf", "Mn") or c.isspace():
+        if c == " ":
+            options.append((" ", KEPT))
+        if c in SEPARATORS or unicodedata.category(c) in ("Cf", "Mn") or c == " ":
             options.append(("", DROPPED))
         if i and c == token[i - 1] and options:
             options.append(("", COLLAPSED))
@@ -144,13 +148,16 @@ class Restorer:
 
     def spaced(self, text: str) -> list[str]:
         """Words spelled with spaces between their letters."""
-        return [decode(m[0].replace(" ", "").lower(), self.cost) for m in SPACED.finditer(text) if len(m[0]) <= 100]
+        return [w for m in SPACED.finditer(text) if len(m[0]) <= 100 for w in self._joined(m[0]).split()]
 
     def text(self, text: str) -> str:
         """The whole text restored; white space becomes single spaces."""
-        text = SPACED.sub(lambda m: decode(m[0].replace(" ", "").lower(), self.cost) if len(m[0]) <= 100 else m[0], text)
+        text = SPACED.sub(lambda m: self._joined(m[0]) if len(m[0]) <= 100 else m[0], text)
         return " ".join(filter(None, map(self.word, text.split())))
 
+    def _joined(self, letters: str) -> str:
+        return decode(re.sub(" +", " ", letters).lower(), self.cost)
+
 
 def _repeats(word: str) -> bool:
     return any(a == b == c for a, b, c in zip(word, word[1:], word[2:], strict=False))
@@ -252,8 +259,8 @@ def evidence_counts(docs: DataFrame, cost: np.ndarray, text: str = "text", label
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic", sample_rows: int = 50_000, most_features: int = 50_000, sure: float = 3.0) -> Model:
     """Trigrams of all ``docs``, and a logistic model from at most ``sample_rows`` labelled rows, those of the smallest key hash.
 
-    Rows without key or label do not teach. Features are words and beginnings whose share of toxic rows exceeds twice
-    the overall share even at the lower end of a ``sure``-sigma interval; if more than ``most_features`` do, the most
+    Rows without key or label do not teach. Features are words and beginnings whose odds of being in a toxic row exceed
+    twice the overall odds even at the lower end of a ``sure``-sigma interval; if more than ``most_features`` do, the most
     frequent are taken. Both bounds are parameters: they bound what is broadcast and what reaches the driver. Without
     toxic labels every score is the prior.
     """
@@ -267,7 +274,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
     n = F.col("pos") + F.col("neg")
     p, z = F.col("pos") / n, sure * sure
     low = (p + z / (2 * n) - sure * F.sqrt(p * (1 - p) / n + z / (4 * n * n))) / (1 + z / n)
-    strong = evidence_counts(taught, cost).where(low > 2 * toxic / len(known)).orderBy(F.desc("pos"), "feature").limit(most_features).select("feature").toPandas()
+    strong = evidence_counts(taught, cost).where(low > 2 * toxic / (len(known) + toxic)).orderBy(F.desc("pos"), "feature").limit(most_features).select("feature").toPandas()
     names = {f: i for i, f in enumerate(strong["feature"])}
     shared = docs.sparkSession.sparkContext.broadcast((cost, names))
 
@@ -281,7 +288,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([float(np.log1p(len(ws))) for ws in words]), pa.array(has, pa.list_(pa.int32()))], names=["y", "length", "has"])
 
     got = taught.mapInArrow(held, "y int, length double, has array<int>").limit(2 * sample_rows).toPandas()
-    counts = got["has"].map(len).to_numpy()
+    counts = got["has"].map(len).to_numpy(dtype=np.int64)
     columns = np.concatenate([*map(np.asarray, got["has"]), np.zeros(0)]).astype(np.int64)
     w, length, bias = regression(np.repeat(np.arange(len(got)), counts), columns, len(names), got["length"].to_numpy(), got["y"].to_numpy(dtype=np.float64))
     return Model(cost, {f: float(w[i]) for f, i in names.items()}, length, bias)
