@@ -1,0 +1,75 @@
+import random
+import re
+from itertools import pairwise
+
+from pyspark.sql import functions as F
+
+from ledgerline.llm import linededup
+
+from .helpers import ODD, SCHEMA, prose, table
+
+
+def slow(texts, min_words):
+    """Texts after removal, by comparing every line run with every earlier place."""
+    docs = [[(i, x, len(re.findall(r"[^\x20\x09-\x0D]+", x))) for i, x in enumerate((t or "").split("\n")) if re.search(r"[^\x20\x09-\x0D]", x)] for t in texts]
+    out = []
+    for a, x in enumerate(docs):
+        gone = set()
+        for b in range(len(x)):
+            longest = 0
+            for a2 in range(a + 1):
+                for b2 in range(b if a2 == a else len(docs[a2])):
+                    n = 0
+                    while b + n < len(x) and b2 + n < len(docs[a2]) and x[b + n][1] == docs[a2][b2 + n][1]:
+                        n += 1
+                    longest = max(longest, n)
+            if longest and sum(w for _, _, w in x[b : b + longest]) >= min_words:
+                gone |= {i for i, _, _ in x[b : b + longest]}
+        for (i, *_), (after, *_) in pairwise(x):
+            if {i, after} <= gone:
+                gone |= set(range(i, after))
+        out.append((None if texts[a] is None else "\n".join(line for i, line in enumerate(texts[a].split("\n")) if i not in gone), len(gone)))
+    return out
+
+
+def check(spark, texts, min_words):
+    got = sorted((r.doc_id, r.text, r.removed_lines) for r in linededup.dedup_lines(table(spark, texts), min_words).collect())
+    want = [(i, t, n) for i, (t, n) in enumerate(slow(texts, min_words))]
+    assert got == want
+
+
+def test_random_line_mixes(spark):
+    rng = random.Random(2)
+    lines = [prose(rng, rng.choice([1, 2, 3, 8])) for _ in range(7)] + ["", " "]
+    for min_words in (1, 5, 12):
+        texts = ["\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 14))) for _ in range(14)]
+        check(spark, [*texts, *ODD[:7]], min_words)
+
+
+def test_runs_of_many_lines(spark):
+    rng = random.Random(4)
+    passage = [prose(rng, 4) for _ in range(40)]
+    texts = ["\n".join([prose(rng, 5), *passage, prose(rng, 5)]), "\n".join([prose(rng, 5), *passage[5:], prose(rng, 5), *passage[:9]]), "\n".join(passage), "\n".join(passage + passage)]
+    check(spark, texts, 30)
+    check(spark, ["\n".join(["x"] * 30), "\n".join(["x"] * 7)], 3)
+
+
+def test_short_shared_lines_stay(spark):
+    line = "released under a common licence for all readers"
+    texts = [f"{line}\nonly here number {i}" for i in range(6)]
+    assert all(r.removed_lines == 0 for r in linededup.dedup_lines(table(spark, texts), 50).collect())
+
+
+def test_repeated_and_null_keys_and_clashing_names(spark):
+    text = prose(random.Random(3), 60)
+    rows = [(1, text, None, None, 1), (1, text, None, None, 1), (2, text, None, None, 1), (None, text, None, None, 1), (1, None, None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({"d": F.lit("x"), "spans": F.lit(1), "h1": F.lit(2), "j": F.lit(3)})
+    got = linededup.dedup_lines(docs, 50)
+    assert got.columns == [*docs.columns, "removed_lines"]
+    assert sorted((str(r.doc_id), r.removed_lines) for r in got.collect()) == [("1", 0), ("1", 1), ("1", 1), ("2", 1), ("None", 0)]
+    assert linededup.dedup_lines(docs.limit(0), 50).count() == 0
+
+
+def test_no_python_in_the_plan(spark):
+    plan = linededup.dedup_lines(table(spark, ["a b", "a b"]), 2)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)

@@ -1,0 +1,87 @@
+import random
+import re
+from collections import Counter
+
+import numpy as np
+
+from ledgerline.llm import quality
+
+from .helpers import ODD, SCHEMA, prose, table
+
+
+def slow(t):
+    t = t or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    grams = Counter(zip(w, w[1:], w[2:], strict=False))
+    covered = {i + j for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for j in range(3)}
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(covered)
+
+
+def test_counts_equal_the_definition():
+    rng = random.Random(1)
+    texts = [*ODD, "a a a a", "a b c a b c", "x\nx\n\n\nx\n x", "#*$ %&|<>", *("".join(rng.choice("ab \n#\t") for _ in range(80)) for _ in range(300))]
+    for t in texts:
+        assert quality.statistics(t)[0] == slow(t), t
+
+
+def test_forest_learns_and_obeys_its_constraints():
+    rng = np.random.default_rng(3)
+    x = rng.random((3000, 3))
+    y = ((x[:, 0] + 0.3 * rng.random(3000) > 0.6) & (x[:, 1] < 0.7)).astype(float)
+    forest = quality.fit(x, y, (1, -1, 0), trees=30)
+    assert ((forest.score(x) > 0.5) == y).mean() > 0.9
+    grid = np.linspace(0, 1, 60)
+    for j, sign in ((0, 1), (1, -1)):
+        for _ in range(20):
+            probe = np.repeat(rng.random((1, 3)), 60, axis=0)
+            probe[:, j] = grid
+            assert (np.diff(forest.score(probe)) * sign >= -1e-12).all()
+
+
+def test_forest_equals_a_walk_of_its_nodes():
+    rng = np.random.default_rng(4)
+    x = rng.random((500, 2))
+    f = quality.fit(x, (x[:, 0] > x[:, 1]).astype(float), (0, 0), trees=10)
+    for row in x[:50]:
+        total = f.base
+        for i in f.roots:
+            while f.left[i] != i:
+                i = f.left[i] if row[f.feature[i]] <= f.threshold[i] else f.right[i]
+            total += f.value[i]
+        assert abs(f.score(row[None])[0] - 1 / (1 + np.exp(-total))) < 1e-12
+    assert quality.fit(np.zeros((0, 2)), np.zeros(0), (0, 0)).score(np.zeros((2, 2))).tolist() == [0.5, 0.5]
+    assert quality.fit(np.ones((50, 2)), np.ones(50), (0, 0)).score(np.ones((1, 2)))[0] > 0.9
+
+
+def test_query(spark, tmp_path):
+    rng = random.Random(5)
+    good = [prose(rng, 80) for _ in range(120)]
+    junk = [" ".join(w + "***" for w in prose(rng, 80).split()) for _ in range(60)]
+    texts = [*ODD, *good, *junk, "w " * 100]
+    docs = table(spark, texts)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, int(i < len(ODD) + 120), 0) for i in range(len(ODD), len(ODD) + 180, 1) if i % 2] + [(None, 1, 1), (5, None, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r.doc_id: r for r in quality.op5_quality_rules(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        want = slow(t)
+        assert tuple(got[i][c] for c in quality.COUNTS) == want
+        assert got[i].base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+        if got[i].base_failed:
+            assert not got[i].kept
+    assert all(got[len(ODD) + i].kept for i in range(120)) and not any(got[len(ODD) + 120 + i].kept for i in range(60))
+
+
+def test_no_labels_and_no_documents(spark, tmp_path):
+    table(spark, [prose(random.Random(1), 60)]).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert [r.kept for r in quality.op5_quality_rules(spark, str(tmp_path)).collect()] == [True]
+    empty = tmp_path / "empty"
+    spark.createDataFrame([], SCHEMA).write.parquet(str(empty / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(empty / "labels.parquet"))
+    assert quality.op5_quality_rules(spark, str(empty)).count() == 0
