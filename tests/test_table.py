@@ -97,7 +97,8 @@ def test_random_operations_survive_every_compaction(spark, table):
     assert len(table.versions()) == 1
 
 
-def test_tombstones_stay_above_older_runs(spark, table):
+def test_tombstones_stay_above_older_runs(spark, tmp_path):
+    table = LedgerTable.create(spark, str(tmp_path / "deep"), SPEC, Policy(auto=False, base_bytes=1))
     table.upsert(rows(spark, [("a", 1), ("b", 1)]))
     table.compact(0, 3)
     table.delete(spark.createDataFrame([("a",)], "k string"))
@@ -108,6 +109,12 @@ def test_tombstones_stay_above_older_runs(spark, table):
     assert table.count_deleted() == 0 and contents(table) == {"b": 1, "c": 1}
 
 
+def test_small_runs_move_up(spark, table):
+    table.upsert(rows(spark, [("a", 1)]))
+    table.compact(0, 3)
+    assert [len(level) for level in table.manifest.levels] == [0, 1] and contents(table) == {"a": 1}
+
+
 def test_plans():
     run = Run("r", 1, 0, 100, 1)
     one = Manifest(SPEC).with_level(0, (run,))
