@@ -9,7 +9,7 @@ lines that occur once, stretches too short, pairs that occur once.
 
 What is deleted: a line goes if, and only if, it lies in a run of whole lines with at least ``min_words`` words that
 also starts at an earlier place of the corpus, places being ordered by document and line. Lines without words don't
-count, and go where they lie inside a deleted run.
+count, and go where the lines with words on both sides of them go.
 """
 
 from __future__ import annotations
@@ -42,10 +42,11 @@ def suffix_ranks(lines: DataFrame, min_words: int, levels: int) -> DataFrame:
 
     Each round is written to the shared folder, so its numbers are fixed before the next builds on them.
     """
-    repeated = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2", F.monotonically_increasing_id().alias("r0"))
+    repeated = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").sortWithinPartitions("h1", "h2")  # so that a task that runs again numbers alike
+    repeated = repeated.select("h1", "h2", F.monotonically_increasing_id().alias("r0"))
     document = Window.partitionBy(*PLACE)
-    once = F.row_number().over(Window.partitionBy(*PLACE, "j").orderBy("i"))
-    rows = lines.join(repeated, ["h1", "h2"]).drop("h1", "h2").withColumn("copy", once).where("copy = 1").drop("copy")
+    copy = F.lag("j").over(document.orderBy("j")) == F.col("j")
+    rows = lines.join(repeated, ["h1", "h2"]).drop("h1", "h2").withColumn("copy", F.coalesce(copy, F.lit(False))).where("not copy").drop("copy")
     rows = rows.withColumn("seg", F.col("j") - F.row_number().over(document.orderBy("j")))
     rows = rows.withColumn("all", F.sum("w").over(Window.partitionBy(*PLACE, "seg"))).where(F.col("all") >= min_words).drop("all")
     rows = checkpoint(rows)
@@ -74,7 +75,7 @@ def _runs(rows: DataFrame, min_words: int, levels: int) -> DataFrame:
             return F.coalesce(*(F.when(level == k, F.col(f"{side}.r{k}")) for k in range(levels + 1)))
 
         out = rows.where(F.col(f"{b}.upto") - F.col(f"{a}.before") >= min_words)
-        return out.select(length.alias("length"), at(f"{a}.starts").alias("x"), at(f"{b}.ends").alias("y"), *PLACE, F.col(f"{a}.i").alias("start"), F.col(f"{b}.i").alias("end"))
+        return out.select(length.alias("length"), at(f"{a}.starts").alias("x"), at(f"{b}.ends").alias("y"), *PLACE, F.struct(f"{a}.j", f"{a}.i").alias("start"), F.struct(f"{b}.j", f"{b}.i").alias("end"))
 
     return named("here", "last").union(named("first", "here")).where("x is not null and y is not null")
 
@@ -88,10 +89,10 @@ def deletions(docs: DataFrame, min_words: int = 50, key: str = "doc_id", text: s
     first = runs.groupBy(*name).agg(F.min(F.struct(*PLACE, "start")).alias("earliest"))
     later = runs.join(first, name).where(F.struct(*PLACE, "start") > F.col("earliest")).select(*PLACE, "start", "end").distinct()
     order = Window.partitionBy(*PLACE).orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = later.withColumn("new", F.coalesce((F.col("start") > reach + 1).cast("int"), F.lit(1)))
+    reach = F.max("end.j").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    islands = later.withColumn("new", F.coalesce((F.col("start.j") > reach + 1).cast("int"), F.lit(1)))
     islands = islands.withColumn("island", F.sum("new").over(order))
-    spans = islands.groupBy(*PLACE, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = islands.groupBy(*PLACE, "island").agg(F.min("start.i").alias("start"), F.max("end.i").alias("end"))
     return spans.groupBy(*PLACE).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
