@@ -1,11 +1,11 @@
 """Exact BM25 top-k search by block-max WAND, run per shard and merged exactly.
 
 A shard is a run of documents of an input split: an inverted index in numpy arrays, its documents ordered so that like
-ones stand together, its postings cut at blocks of documents. For a query, the sum of the block maxima of its terms
-bounds what any document of a block can score. Blocks are scored best bound first, until no bound reaches the k-th best
-score so far. Document counts, lengths and frequencies are those of the whole corpus, so scores of different shards
-compare, and the merge of the shards' top k is the exact top k. Queries come in blocks of bounded size, each against
-all shards.
+ones stand together and cut into blocks. For a query, the exact sums of its rare terms and the block maxima of its
+frequent ones bound what any document of a block can score. Blocks are scored in order of their bounds, each for the
+queries whose k-th best score so far its bound reaches, which is a product of small dense matrices. Document counts,
+lengths and frequencies are those of the whole corpus, so scores of different shards compare, and the merge of the
+shards' top k is the exact top k. Queries come in blocks of bounded size, each against all shards.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ K1, B = 1.2, 0.75
 BLOCK = 32
 #: Scores are compared after rounding to so many digits; bounds give way by more than that.
 DIGITS, SLACK = 6, 2e-6
+#: So many queries are scored together in a shard; their sums are one array of this by the shard's documents.
+QUERIES_AT_ONCE = 128
 
 
 class TermIds(dict):
@@ -86,53 +88,74 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text", most_docs: i
 
 
 class Shard:
-    """One shard's arrays, with each posting's weight under the corpus's mean length, and the maxima by term and block."""
+    """One shard's arrays, with each posting's weight under the corpus's mean length.
+
+    Terms that a sixteenth of the documents have are dense rows, with their maxima by block; the postings of the others
+    stay sparse.
+    """
 
     def __init__(self, row: dict, mean_length: float):
         as_ = lambda name, kind: np.frombuffer(row[name], kind)
-        self.keys, self.terms = as_("docs", np.int64), as_("terms", np.int64)
-        lengths, pointers, counts = as_("lengths", np.int64), as_("pointers", np.int64), as_("counts", np.int32)
-        self.posts = as_("posts", np.int32)
+        self.keys, self.terms, self.pointers, self.posts = as_("docs", np.int64), as_("terms", np.int64), as_("pointers", np.int64), as_("posts", np.int32)
+        lengths, counts = as_("lengths", np.int64), as_("counts", np.int32)
         self.weights = counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[self.posts] / mean_length))
         self.n_blocks = -(-len(self.keys) // BLOCK)
-        block = self.posts // BLOCK
-        term = np.repeat(np.arange(len(self.terms)), np.diff(pointers))
-        cut = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
-        self.starts, self.sizes = cut, np.diff(np.append(cut, len(block)))
-        self.blocks = block[cut]
-        self.maxima = np.maximum.reduceat(self.weights, cut) if len(cut) else np.zeros(0)
-        self.entries = np.searchsorted(cut, pointers)
-
-    def top(self, at: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(keys, rounded scores) of the k best documents for terms at ``at`` in ``terms``; equal scores by key."""
-        first, last = self.entries[at], self.entries[at + 1]
-        e = _ranges(first, last - first)
-        weight = np.repeat(idf, last - first)
-        blocks = self.blocks[e]
-        bounds = np.bincount(blocks, weights=weight * self.maxima[e], minlength=self.n_blocks)
-        queue = np.argsort(-bounds, kind="stable")
-        keys, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
-        done, step, threshold = 0, 4, 0.0
-        while done < len(queue):
-            group = queue[done : done + step]
-            group = group[(bounds[group] >= threshold - SLACK) & (bounds[group] > 0)]
-            if not len(group):
-                break
-            chosen = np.zeros(self.n_blocks, dtype=bool)
-            chosen[group] = True
-            own = chosen[blocks]
-            picked = e[own]
-            p = _ranges(self.starts[picked], self.sizes[picked])
-            found = np.bincount(self.posts[p], weights=np.repeat(weight[own], self.sizes[picked]) * self.weights[p], minlength=len(self.keys))
-            at_docs = np.flatnonzero(found >= max(threshold - SLACK, 1e-12))
-            keys = np.concatenate([keys, self.keys[at_docs]])
-            scores = np.concatenate([scores, np.round(found[at_docs], DIGITS)])
-            best = np.lexsort((keys, -scores))[:k]
-            keys, scores = keys[best], scores[best]
-            if len(scores) == k:
-                threshold = scores[-1]
-            done, step = done + step, step * 2
-        return keys, scores
+        sizes = np.diff(self.pointers)
+        often = np.flatnonzero(sizes * 16 >= len(self.keys))
+        self.dense = np.zeros((len(often), self.n_blocks * BLOCK))
+        for i, t in enumerate(often):
+            p = slice(self.pointers[t], self.pointers[t + 1])
+            self.dense[i, self.posts[p]] = self.weights[p]
+        self.maxima = self.dense.reshape(len(often), self.n_blocks, BLOCK).max(axis=2)
+        self.row_of = np.full(len(self.terms), -1)
+        self.row_of[often] = np.arange(len(often))
+
+    def top(self, starts: np.ndarray, at: np.ndarray, idf: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(keys, rounded scores) of each query's k best documents, equal scores by key; query i has ``at[starts[i]:starts[i + 1]]`` of ``terms``.
+
+        Rare terms are added up first, exactly. A block's bound is the best of these sums in it plus the block maxima of
+        the frequent terms. The documents that rare terms favour give each query a first threshold; then each block is
+        scored for the queries whose threshold its bound reaches, the blocks with the best bounds first.
+        """
+        n, width = len(starts) - 1, self.n_blocks * BLOCK
+        owner = np.repeat(np.arange(n), np.diff(starts))
+        row = self.row_of[at]
+        frequent = np.zeros((n, len(self.dense)))
+        frequent[owner[row >= 0], row[row >= 0]] = idf[row >= 0]
+        rare = row < 0
+        first = self.pointers[at[rare]]
+        sizes = self.pointers[at[rare] + 1] - first
+        p = _ranges(first, sizes)
+        place = np.repeat(owner[rare] * width, sizes) + self.posts[p]
+        sums = np.bincount(place, weights=np.repeat(idf[rare], sizes) * self.weights[p], minlength=n * width).reshape(n, width)
+        bounds = sums.reshape(n, self.n_blocks, BLOCK).max(axis=2) + frequent @ self.maxima
+
+        best_scores, best_docs = np.zeros((n, k)), np.full((n, k), -1)
+        if width > k:
+            tried = np.argpartition(-sums, k, axis=1)[:, :k]
+            for q in range(n):
+                got = sums[q, tried[q]] + frequent[q] @ self.dense[:, tried[q]]
+                best_scores[q] = np.sort(np.round(got, DIGITS))[::-1]
+        threshold = best_scores[:, -1].copy()
+        best_scores[:] = 0
+        for block in np.argsort(-bounds.max(axis=0), kind="stable"):
+            asked = np.flatnonzero((bounds[:, block] >= threshold - SLACK) & (bounds[:, block] > 0))
+            if not len(asked):
+                continue
+            docs = np.arange(block * BLOCK, min((block + 1) * BLOCK, len(self.keys)))
+            got = np.round(sums[np.ix_(asked, docs)] + frequent[asked] @ self.dense[:, docs], DIGITS)
+            better = got.max(axis=1) >= np.maximum(threshold[asked], 1e-6)
+            asked, got = asked[better], got[better]
+            if not len(asked):
+                continue
+            scores = np.concatenate([best_scores[asked], got], axis=1)
+            owners = np.concatenate([best_docs[asked], np.broadcast_to(docs, got.shape)], axis=1)
+            keys = np.where(owners >= 0, self.keys[owners], np.iinfo(np.int64).max)
+            order = np.lexsort((keys, -scores), axis=1)[:, :k]
+            best_scores[asked], best_docs[asked] = np.take_along_axis(scores, order, 1), np.take_along_axis(owners, order, 1)
+            threshold[asked] = np.maximum(threshold[asked], best_scores[asked, -1])
+        found = (best_docs >= 0) & (best_scores > 0)
+        return [(self.keys[best_docs[q][found[q]]], best_scores[q][found[q]]) for q in range(n)]
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -155,7 +178,7 @@ def query_terms(queries: DataFrame, key: str = "doc_id", text: str = "text") ->
     return queries.select(F.col(key).cast("long").alias("query_id"), text).mapInArrow(run, "query_id long, term long")
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text", block_terms: int = 1_000_000) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text", block_terms: int = 500_000) -> DataFrame:
     """query_id, rank (from 1), doc_id and score: each query's k best documents by BM25 over its distinct words.
 
     Equal scores go by key. Documents without a word of the query are never returned, so a query without words has no
@@ -181,15 +204,17 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id"
 
     df = shards.select("terms", "pointers").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     asked = query_terms(queries.where(F.col(key).isNotNull()), key, text).distinct()
-    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = checkpoint(asked.join(df, "term").select("query_id", "term", idf.alias("idf")))
+    weight = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = checkpoint(asked.join(df, "term").select("query_id", "term", weight.alias("idf")))
     blocks = max(1, math.ceil(weighted.count() / block_terms))
     mean = words / n
     found = []
     for block in range(blocks):
-        mine = weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toPandas().sort_values(["query_id", "term"])
-        names, starts = np.unique(mine["query_id"].to_numpy(), return_index=True)
-        shared = spark.sparkContext.broadcast((names, np.append(starts, len(mine)), mine["term"].to_numpy(), mine["idf"].to_numpy()))
+        mine = weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
+        ids, terms, idfs = (mine.column(c).to_numpy() for c in ("query_id", "term", "idf"))
+        order = np.lexsort((terms, ids))
+        names, starts = np.unique(ids[order], return_index=True)
+        shared = spark.sparkContext.broadcast((names, np.append(starts, len(ids)), terms[order], idfs[order]))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, starts, terms, idf = shared.value
@@ -198,23 +223,20 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id"
                     shard = Shard({c: batch.column(j)[i].as_buffer() for j, c in enumerate(batch.schema.names)}, mean)
                     if not len(shard.terms):
                         continue
-                    at = np.searchsorted(shard.terms, terms)
-                    at[at == len(shard.terms)] = 0
-                    there = shard.terms[at] == terms
-                    out_q, out_d, out_s = [], [], []
-                    for q, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
-                        own = there[a:b]
-                        if own.any():
-                            keys, scores = shard.top(at[a:b][own], idf[a:b][own], k)
-                            out_q.append(np.full(len(keys), names[q]))
-                            out_d.append(keys)
-                            out_s.append(scores)
-                    if out_q:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_d, out_s)], names=schema.names)
+                    out = []
+                    for q in range(0, len(names), QUERIES_AT_ONCE):
+                        a, b = starts[q], starts[min(q + QUERIES_AT_ONCE, len(names))]
+                        at = np.minimum(np.searchsorted(shard.terms, terms[a:b]), len(shard.terms) - 1)
+                        there = shard.terms[at] == terms[a:b]
+                        own = np.concatenate([[0], np.cumsum(there)])[starts[q : q + QUERIES_AT_ONCE + 1] - a]
+                        out += shard.top(own, at[there], idf[a:b][there], k)
+                    if out:
+                        sizes = [len(keys) for keys, _ in out]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, sizes)), pa.array(np.concatenate([keys for keys, _ in out])), pa.array(np.concatenate([scores for _, scores in out]))], names=schema.names)
 
         hits = shards.select("docs", "lengths", "terms", "pointers", "posts", "counts").mapInArrow(run, schema)
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-        found.append(checkpoint(hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)))
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+        found.append(checkpoint(hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)))
         shared.unpersist()
     doc = F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id"))
     return reduce(DataFrame.unionByName, found).select("query_id", "rank", doc.alias("doc_id"), "score")
