@@ -30,11 +30,19 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(*PLACE, "j", "x.i", F.xxhash64("x.line").alias("h1"), F.xxhash64(F.lit(7), "x.line").alias("h2"), "x.w")
 
 
+def _numbered(pairs: DataFrame, first: str, second: str, rank: str) -> DataFrame:
+    """Distinct pairs with numbers that have their order.
+
+    Sorted distinct pairs are numbered alike when a task runs again. Range partitioning also keeps the join that follows
+    apart from what made the pairs, so a line or pair that is very common is a skewed partition that AQE can split.
+    """
+    return pairs.repartitionByRange(first, second).sortWithinPartitions(first, second).select(first, second, F.monotonically_increasing_id().alias(rank))
+
+
 def _ranked(rows: DataFrame, first: str, second: str, rank: str) -> DataFrame:
     """``rows`` with the rank of (first, second) among all such pairs; null where second is null or the pair occurs once."""
     pairs = rows.where(F.col(second).isNotNull()).groupBy(first, second).agg(F.count("*").alias("n")).where("n > 1")
-    order = pairs.repartitionByRange(first, second).sortWithinPartitions(first, second).select(first, second, F.monotonically_increasing_id().alias(rank))
-    return rows.join(order, [first, second], "left")
+    return rows.join(_numbered(pairs, first, second, rank), [first, second], "left")
 
 
 def suffix_ranks(lines: DataFrame, min_words: int, levels: int) -> DataFrame:
@@ -42,8 +50,7 @@ def suffix_ranks(lines: DataFrame, min_words: int, levels: int) -> DataFrame:
 
     Each round is written to the shared folder, so its numbers are fixed before the next builds on them.
     """
-    repeated = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").sortWithinPartitions("h1", "h2")  # so that a task that runs again numbers alike
-    repeated = repeated.select("h1", "h2", F.monotonically_increasing_id().alias("r0"))
+    repeated = _numbered(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1"), "h1", "h2", "r0")
     document = Window.partitionBy(*PLACE)
     copy = F.lag("j").over(document.orderBy("j")) == F.col("j")
     rows = lines.join(repeated, ["h1", "h2"]).drop("h1", "h2").withColumn("copy", F.coalesce(copy, F.lit(False))).where("not copy").drop("copy")
