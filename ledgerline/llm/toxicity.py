@@ -123,7 +123,7 @@ class Restorer:
     """Restores tokens; what a token becomes is kept, up to ``most`` tokens."""
 
     cost: np.ndarray
-    most: int = 200_000
+    most: int = 50_000
 
     def __post_init__(self) -> None:
         self.known: dict[str, str] = {}
@@ -188,7 +188,7 @@ class Model:
                 n += 1
                 got = seen.get(word)
                 if got is None:
-                    if len(seen) >= 400_000:
+                    if len(seen) >= 150_000:
                         seen.clear()
                     got = seen[word] = sum(weights.get(f, 0.0) for f in features(word))
                 total += got
@@ -198,7 +198,7 @@ class Model:
 
 
 class Tokens:
-    """Distinct restored words of texts; the restored form of a token is kept, up to 400,000 of them."""
+    """Distinct restored words of texts; the restored form of a token is kept, up to 150,000 of them."""
 
     def __init__(self, cost: np.ndarray):
         self.restorer, self.known = Restorer(cost), {}
@@ -208,7 +208,7 @@ class Tokens:
         for token in set(text.split()):
             word = known.get(token)
             if word is None:
-                if len(known) >= 400_000:
+                if len(known) >= 150_000:
                     known.clear()
                 word = known[token] = self.restorer.word(token)
             out.add(word)
@@ -249,7 +249,7 @@ def evidence_counts(docs: DataFrame, cost: np.ndarray, text: str = "text", label
                 for y, t in zip(batch.column(0).to_pylist(), batch.column(1).fill_null("").to_pylist(), strict=True):
                     for f in {f for w in tokens.distinct(t) for f in features(w)}:
                         held[f][int(y)] += 1
-                    if len(held) > 300_000:
+                    if len(held) > 150_000:
                         yield told()
         yield told()
 
