@@ -31,7 +31,7 @@ MARKS, LATIN_END = "!#$%&()*+,-./:;<=>?@[]^_`{|}~\"\\", "\u0250"
 class ChunkCache(dict):
     """Chunk to its ids as little-endian bytes, in two generations of ``most`` chunks: what is used moves to the newer one, the older one is let go."""
 
-    def __init__(self, path: str, most: int = 300_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 120_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -50,6 +50,10 @@ class ChunkCache(dict):
             self[chunk] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
     def learn(self, chunks: set[str]) -> None:
         """Encodes the unknown ones of ``chunks`` together; many of a corpus's chunks occur once, and a call for each would cost most of the time.
 
@@ -108,11 +112,12 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, text: str = "text
         try:
             yield from cut(batches)
         finally:
+            _cache(path).forget()  # the worker lives on, and what it runs next needs the memory
             gc.enable()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _small(whole, 4 << 20):
+            for batch in _small(whole, 2 << 20):
                 at, start, length, crc, total, own = [], [], [], [], [], []
                 for i, own_ids in enumerate(token_bytes(batch.column(1).fill_null("").to_pylist(), path)):
                     data = own_ids + end
