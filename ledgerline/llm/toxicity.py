@@ -36,6 +36,8 @@ SUBSTITUTED, DROPPED, COLLAPSED = 1.0, 0.5, 0.5
 KEPT = 1.5
 EDGES = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum()) + "«»¿¡“”‘’„…–—"
 SPACED = re.compile(r"(?<!\S)[\w@$](?: +[\w@$]){2,}(?!\S)")
+#: Longer tokens are decoded each time that they occur, so that caches stay small.
+KEPT_LENGTH = 64
 PREFIXES = (3, 4, 5, 6, 7, 8)
 
 
@@ -99,34 +101,43 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(token: str, cost: np.ndarray) -> str:
-    """The likeliest word behind a lower-case token: Viterbi over the last two letters."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+def decode(token: str, cost: np.ndarray | list[float]) -> str:
+    """The likeliest word behind a lower-case token of any length: Viterbi over the last two letters.
+
+    Paths are chains of back-pointers; states are bounded, so time and memory are linear. ``cost`` may be flat.
+    """
+    flat = cost if isinstance(cost, list) else cost.ravel().tolist()
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for options in lattice(token):
-        following: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (paid, so_far) in best.items():
+        following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (paid, path) in best.items():
             for letter, price in options:
                 if letter:
                     n = NUMBER.get(letter, 0)
-                    state, total, made = (b, n), paid + price + cost[a, b, n], so_far + letter
+                    state, total, made = (b, n), paid + price + flat[(a * SIZE + b) * SIZE + n], (path, letter)
                 else:
-                    state, total, made = (a, b), paid + price, so_far
+                    state, total, made = (a, b), paid + price, path
                 old = following.get(state)
-                if old is None or (total, made) < old:
+                if old is None or total < old[0]:
                     following[state] = (total, made)
         best = following
-    return min((paid + cost[a, b, 0], made) for (a, b), (paid, made) in best.items())[1]
+    path, out = min(((paid + flat[(a * SIZE + b) * SIZE], i, path) for i, ((a, b), (paid, path)) in enumerate(best.items())), key=lambda x: x[:2])[2], []
+    while path is not None:
+        path, letter = path
+        out.append(letter)
+    return "".join(reversed(out))
 
 
 @dataclass
 class Restorer:
-    """Restores tokens; what a token becomes is kept, up to ``most`` tokens."""
+    """Restores tokens of any length; what a token of up to ``KEPT_LENGTH`` characters becomes is kept, up to ``most`` of them."""
 
     cost: np.ndarray
     most: int = 50_000
 
     def __post_init__(self) -> None:
         self.known: dict[str, str] = {}
+        self.flat = self.cost.ravel().tolist()
 
     def word(self, token: str) -> str:
         """A white-space-delimited token in lower case, without the marks around it, decoded where it looks disguised."""
@@ -137,26 +148,31 @@ class Restorer:
         before = token[: len(token) - len(lead)][-1:]
         if before in ("$", "@"):
             core = before + core
-        if core.isalpha() and not _repeats(core) or len(core) > 40 or not any(c.isalpha() for c in core):
+        if core.isalpha() and not _repeats(core) or not any(c.isalpha() for c in core):
             return core
-        got = self.known.get(core)
+        return self._decoded(core)
+
+    def _decoded(self, token: str) -> str:
+        got = self.known.get(token)
         if got is None:
-            if len(self.known) >= self.most:
-                self.known.clear()
-            got = self.known[core] = decode(core, self.cost)
+            got = decode(token, self.flat)
+            if len(token) <= KEPT_LENGTH:
+                if len(self.known) >= self.most:
+                    self.known.clear()
+                self.known[token] = got
         return got
 
     def spaced(self, text: str) -> list[str]:
         """Words spelled with spaces between their letters."""
-        return [w for m in SPACED.finditer(text) if len(m[0]) <= 100 for w in self._joined(m[0]).split()]
+        return [w for m in SPACED.finditer(text) for w in self._joined(m[0]).split()]
 
     def text(self, text: str) -> str:
         """The whole text restored; white space becomes single spaces."""
-        text = SPACED.sub(lambda m: self._joined(m[0]) if len(m[0]) <= 100 else m[0], text)
+        text = SPACED.sub(lambda m: self._joined(m[0]), text)
         return " ".join(filter(None, map(self.word, text.split())))
 
     def _joined(self, letters: str) -> str:
-        return decode(re.sub(" +", " ", letters).lower(), self.cost)
+        return self._decoded(re.sub(" +", " ", letters).lower())
 
 
 def _repeats(word: str) -> bool:
@@ -210,7 +226,9 @@ class Tokens:
             if word is None:
                 if len(known) >= 150_000:
                     known.clear()
-                word = known[token] = self.restorer.word(token)
+                word = self.restorer.word(token)
+                if len(token) <= KEPT_LENGTH:
+                    known[token] = word
             out.add(word)
         if " " in text:
             out.update(self.restorer.spaced(text))

@@ -49,6 +49,16 @@ def test_disguises_are_undone(cost):
     assert r.text("such a l o s e r here") == "such a loser here"
 
 
+def test_disguises_of_any_length_are_undone(cost):
+    r = toxicity.Restorer(cost)
+    gaps = (" " * 30).join("moron")
+    assert r.spaced(gaps) == ["moron"] and r.text(gaps) == "moron"
+    assert "".join(r.spaced(" ".join("idiot" * 30))).replace(" ", "") == "idiot" * 30
+    assert r.word("id" + "i" * 100_000 + "ot") == "idiot"
+    assert r.word(".".join("stupid") + "." + ".".join("garden" * 8)).startswith("stupid")
+    assert all(len(k) <= toxicity.KEPT_LENGTH for k in r.known)
+
+
 def test_trigrams_count_all_texts(spark):
     got = toxicity.trigrams(table(spark, ["ab", "AB ab", None, ""]).select("text"))
     a, b = toxicity.NUMBER["a"], toxicity.NUMBER["b"]
