@@ -8,7 +8,6 @@ worked again, which ends cycles. Findings of a layer carry the span of the origi
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
@@ -35,8 +34,12 @@ NAMES = ("passw", "secret", "token", "api")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2})+")
 ESCAPED = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
-TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
-PLAIN = {ord(c): "a" for c in "\n\r\t"}
+#: The shortest finding, ``token=`` and eight characters, has 19 characters of base64 without its padding.
+LEAST_BODY = 19
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]{19,}={0,2}")
+#: Tokens that go on over line breaks, indented or quoted; each quantifier is possessive, so that matching is linear.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r\n|\n|\r)[ \t>]*+[A-Za-z0-9+/_-]++)++={0,2}")
+PIECE = re.compile(r"[A-Za-z0-9+/_-]+")
 URL_SAFE = str.maketrans("-_", "+/")
 
 
@@ -55,9 +58,10 @@ class Layer(NamedTuple):
         return int(self.starts[a]), int(self.ends[b - 1])
 
     def mark(self) -> tuple[int | None, str]:
-        """What tells a layer from others: its text, or a digest of a long one, and its one span if it has that."""
+        """What tells a layer from others: its text, or a digest of a long one, and where it starts."""
         text = self.text if len(self.text) < 4096 else hashlib.sha256(self.text.encode("utf-8", "surrogatepass")).hexdigest()
-        return (self.starts if isinstance(self.starts, int) else None), text
+        first = self.starts if self.starts is None or isinstance(self.starts, int) else int(self.starts[0])
+        return first, text
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -111,7 +115,7 @@ def _spliced(layer: Layer, pattern: re.Pattern, decoded) -> Iterator[Layer]:
         yield Layer("".join([*parts, text[at:]]), np.concatenate([*starts, own[at:]]), np.concatenate([*ends, ends_of[at:]]))
 
 
-def _inflated(data: bytes, window: int, overlap: int = 4096) -> Iterator[str]:
+def _inflated(data: bytes | memoryview, window: int, overlap: int = 4096) -> Iterator[str]:
     """Text of gzip or zlib data, in overlapping windows, so that a small payload of huge content needs bounded memory."""
     unpack, rest, kept = zlib.decompressobj(47), data, b""
     try:
@@ -127,26 +131,83 @@ def _inflated(data: bytes, window: int, overlap: int = 4096) -> Iterator[str]:
         return
 
 
+def _compressed(data: bytes | memoryview) -> bool:
+    head = bytes(data[:2])
+    return head == b"\x1f\x8b" or len(head) == 2 and head[0] & 15 == 8 and head[0] < 0x80 and int.from_bytes(head, "big") % 31 == 0
+
+
+def _bytes(body: str) -> bytes:
+    """What base64 without padding stands for; a single last character is none."""
+    body = body[: len(body) - (len(body) % 4 == 1)].translate(URL_SAFE)
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
 def _base64(layer: Layer, window: int) -> Iterator[Layer]:
+    """Every token decoded, whatever its bytes are, and what it unpacks to if it looks compressed."""
     for m in TOKEN.finditer(layer.text):
-        body = m[0].rstrip("=").translate(URL_SAFE)
-        if len(body) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(body + "=" * (-len(body) % 4))
-        except (binascii.Error, ValueError):
-            continue
+        data = _bytes(m[0].rstrip("="))
         a, b = layer.origin(*m.span())
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and int.from_bytes(data[:2], "big") % 31 == 0:
+        if _compressed(data):
             for text in _inflated(data, window):
                 yield Layer(text, a, b)
+        yield Layer(data.decode("utf-8", "surrogateescape"), a, b)
+
+
+def _wrapped(layer: Layer, window: int) -> Iterator[Layer]:
+    """Tokens joined over line breaks, read from the first piece of each of the four alignments.
+
+    Findings map to the lines that they come from. Compressed data may begin with any piece.
+    """
+    for m in WRAPPED.finditer(layer.text):
+        spans = [p.span() for p in PIECE.finditer(layer.text, *m.span())]
+        spans_to = [*(b for _, b in spans[:-1]), m.end()]
+        at = np.concatenate([[0], np.cumsum([b - a for a, b in spans])])
+        if at[-1] < LEAST_BODY:
             continue
-        try:
-            text = data.decode("utf-8")
-        except UnicodeDecodeError:
-            continue
-        if text.translate(PLAIN).isprintable():
-            yield Layer(text, a, b)
+        body, at = "".join(layer.text[a:b] for a, b in spans), at[:-1]
+        origins = [layer.origin(a, b) for (a, _), b in zip(spans, spans_to, strict=True)]
+        starts, ends = np.array([a for a, _ in origins]), np.array([b for _, b in origins])
+        for turn in range(4):
+            own = np.flatnonzero(at % 4 == turn)
+            if not len(own):
+                continue
+            first = int(at[own[0]])
+            data = _bytes(body[first:])
+            view = memoryview(data)
+            for k in own.tolist():
+                begin = (int(at[k]) - first) // 4 * 3
+                if _compressed(view[begin : begin + 2]):
+                    used = _packed_length(view[begin:], window)
+                    if used:
+                        last = int(np.searchsorted(at, first + (8 * (begin + used) - 1) // 6, "right")) - 1
+                        for text in _inflated(view[begin:], window):
+                            yield Layer(text, int(starts[k]), int(ends[last]))
+            text = data.decode("utf-8", "surrogateescape")
+            if isinstance(layer.starts, int):
+                yield Layer(text, layer.starts, layer.ends)
+            elif text:
+                points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+                width = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+                width[(points >= 0xDC80) & (points <= 0xDCFF)] = 1
+                to = np.cumsum(width, dtype=np.int64)
+                head = np.searchsorted(at, first + 8 * (to - width) // 6, "right") - 1
+                tail = np.searchsorted(at, first + (8 * to - 1) // 6, "right") - 1
+                yield Layer(text, starts[head], ends[tail])
+
+
+def _packed_length(data: memoryview, window: int) -> int:
+    """How many bytes compressed data takes up; 0 if nothing can be unpacked."""
+    unpack, at, made = zlib.decompressobj(47), 0, False
+    try:
+        while at < len(data) and not unpack.eof:
+            rest = bytes(data[at : at + (1 << 16)])
+            at += len(rest)
+            while rest and not unpack.eof:
+                made = bool(unpack.decompress(rest, window)) or made
+                rest = unpack.unconsumed_tail
+    except zlib.error:
+        return len(data) if made else 0
+    return at - len(unpack.unused_data) if made else 0
 
 
 def scan_text(text: str | None, window: int = 16 << 20) -> list[tuple[int, int, int, bool]]:
@@ -169,6 +230,8 @@ def scan_text(text: str | None, window: int = 16 << 20) -> list[tuple[int, int,
         if "\\" in layer.text:
             inner.append(_spliced(layer, ESCAPE, _escape))
         inner.append(_base64(layer, window))
+        if "\n" in layer.text or "\r" in layer.text:
+            inner.append(_wrapped(layer, window))
         for layers in inner:
             for new in layers:
                 mark = new.mark()

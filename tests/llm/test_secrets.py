@@ -32,6 +32,38 @@ def test_layers_map_to_the_original(wrapped):
     assert "hunter2" not in secrets.redact_text(text) and secrets.redact_text(text).endswith(" tail")
 
 
+def wrap(s: str, width: int, end: str = "\n") -> str:
+    return end.join(s[i : i + width] for i in range(0, len(s), width))
+
+
+@pytest.mark.parametrize("payload", [f"\ufeff{PW}".encode(), f"{PW}\u00a0\u200b".encode(), b"\x00" + PW.encode(), PW.encode() + b" \xe9\xff", b"x " + PW.encode(), b"x?" + PW.encode(), b"x^" + PW.encode()])
+def test_base64_of_any_bytes(payload):
+    text = f"see {b64(payload)} end"
+    assert secrets.scan_text(text) == [(4, 0, len(text) - 4, False)]
+
+
+def test_shortest_base64():
+    assert secrets.scan_text("a " + b64(b"token=12345678")) == [(2, 0, 22, False)]
+    assert secrets.scan_text("a " + b64(b"token=12345678").rstrip("=")) == [(2, 0, 21, False)]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  ", "\n> "])
+def test_base64_over_line_breaks(end):
+    noise = "".join(sha256(str(i).encode()).hexdigest()[:20] + " \n" for i in range(40))
+    for width in (64, 76):
+        for n in range(30, 90, 7):
+            wrapped = wrap(b64(("é" * (n % 3) + "." * n + PW + " ." * 50).encode()), width, end)
+            text = f"word\n{wrapped}\nThe end"
+            found = secrets.scan_text(text)
+            assert found and all(5 <= a and b <= 5 + len(wrapped) for a, _, b, _ in found), (width, n)
+        for packed in (gzip.compress((noise + PW).encode()), zlib.compress((noise + PW).encode())):
+            wrapped = wrap(b64(packed), width, end)
+            assert (5, 0, 5 + len(wrapped), False) in secrets.scan_text(f"word\n{wrapped}\nThe end")
+    twice = wrap(b64(("." * 40 + PW).encode()), 64)
+    found = secrets.scan_text(f"{twice}; {twice}")
+    assert {a < len(twice) for a, *_ in found} == {True, False}
+
+
 def test_base_rules():
     cases = {
         "password: abcdefgh": [(0, 0, 18)], "password: abcdefg": [], "PassWd=\"abcdefgh\"": [(0, 0, 16)], "api-key=abcdefgh": [], "apikey=abcdefgh": [(0, 0, 15)], "API_KEY = 'abcdefgh'": [(0, 0, 19)],
