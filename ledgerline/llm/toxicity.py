@@ -13,6 +13,8 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,17 @@ SEPARATORS = set("._-*~^'`,:;/\\·•")
 SUBSTITUTED, DROPPED, COLLAPSED = 1.0, 0.5, 0.5
 #: What it costs to take a space between single letters for a real one.
 KEPT = 1.5
+#: What it costs to drop a space beside a part of two or more signs, which mostly is a word of its own.
+SPLIT = 6.0
 EDGES = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum()) + "«»¿¡“”‘’„…–—"
-SPACED = re.compile(r"(?<!\S)[\w@$](?: +[\w@$]){2,}(?!\S)")
+#: Marks of prose that may also stand for a letter: free to drop at a token's edge. The other leet signs among EDGES stay.
+LOOSE = "!(¡"
+SIGNS = "$@+|"
+TRIMMED = "".join(c for c in EDGES if c not in SIGNS)
+MARKS = "".join(c for c in TRIMMED if c not in LOOSE)
+DOUBLED = re.compile(f"([{LETTERS}])\\1")
+#: Two or more fragments of at most three characters each.
+RUN = re.compile(r"(?<!\S)\S{1,3}(?:\s+\S{1,3})+(?!\S)")
 #: Longer tokens are decoded each time that they occur, so that caches stay small.
 KEPT_LENGTH = 64
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -84,44 +95,79 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return -np.log(p3)
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each character, what it may be and at what cost; an empty string is a dropped character."""
-    out: list[list[tuple[str, float]]] = []
+@lru_cache(maxsize=8192)
+def _options(c: str, repeated: bool, edge: bool) -> tuple[tuple[str, float, int], ...]:
+    """(letter, cost, the letter's number) of what a character may be; an empty letter is a dropped character."""
+    options = [(c, 0.0)] if c in NUMBER else [(x, SUBSTITUTED) for x in LEET.get(c, "")]
+    if c == " ":
+        options.append((" ", KEPT))
+    if c in SEPARATORS or unicodedata.category(c) in ("Cf", "Mn") or c == " ":
+        options.append(("", DROPPED))
+    if repeated and options and c != " ":
+        options.append(("", COLLAPSED))
+    if edge:
+        options.append(("", 0.0))
+    return tuple((x, price, NUMBER.get(x, 0)) for x, price in options or [(c if c.isalpha() else " ", 0.0)])
+
+
+def _steps(token: str) -> list[tuple[tuple[str, float, int], ...]]:
+    first = len(token) - len(token.lstrip(TRIMMED + " "))
+    last = len(token.rstrip(TRIMMED + " "))
+    if " " not in token and not first and last == len(token):
+        return [_options(c, c == before, False) for before, c in zip(" " + token, token, strict=False)]
+    out, before, gap = [], "", 0
+    whole = [len(f.strip(MARKS)) > 1 for f in token.split(" ")]
     for i, c in enumerate(token):
-        options = [(c, 0.0)] if c in NUMBER else [(x, SUBSTITUTED) for x in LEET.get(c, "")]
         if c == " ":
-            options.append((" ", KEPT))
-        if c in SEPARATORS or unicodedata.category(c) in ("Cf", "Mn") or c == " ":
-            options.append(("", DROPPED))
-        if i and c == token[i - 1] and options:
-            options.append(("", COLLAPSED))
-        if not options:
-            options = [(" ", 0.0)]
-        out.append(options)
+            gap += 1
+        if c == " " and (whole[gap - 1] or whole[gap]):
+            out.append(((" ", KEPT, 0), ("", SPLIT, 0)))
+        else:
+            out.append(_options(c, c == before, not first <= i < last))
+        before = c
     return out
 
 
+def lattice(token: str) -> list[list[tuple[str, float]]]:
+    """For each character, what it may be and at what cost; an empty string is a dropped character.
+
+    Marks at the edges drop free of cost; letters that the model doesn't know stand for themselves.
+    """
+    return [[(letter, price) for letter, price, _ in options] for options in _steps(token)]
+
+
 def decode(token: str, cost: np.ndarray | list[float]) -> str:
     """The likeliest word behind a lower-case token of any length: Viterbi over the last two letters.
 
-    Paths are chains of back-pointers; states are bounded, so time and memory are linear. ``cost`` may be flat.
+    After a space that stays a word begins as at the start. Paths are chains of back-pointers; states are bounded, so
+    time and memory are linear. ``cost`` may be flat.
     """
     flat = cost if isinstance(cost, list) else cost.ravel().tolist()
-    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-    for options in lattice(token):
-        following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-        for (a, b), (paid, path) in best.items():
-            for letter, price in options:
+    best: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+    for options in _steps(token):
+        if len(options) == 1 and len(best) == 1:
+            letter, price, n = options[0]
+            if letter:
+                for ab, (paid, path) in best.items():
+                    best = {ab % SIZE * SIZE + n if letter != " " else 0: (paid + price + flat[ab * SIZE + n], (path, letter))}
+            continue
+        following: dict[int, tuple[float, tuple | None]] = {}
+        for ab, (paid, path) in best.items():
+            row, shifted = ab * SIZE, ab % SIZE * SIZE
+            for letter, price, n in options:
                 if letter:
-                    n = NUMBER.get(letter, 0)
-                    state, total, made = (b, n), paid + price + flat[(a * SIZE + b) * SIZE + n], (path, letter)
+                    state, total, made = shifted + n if letter != " " else 0, paid + price + flat[row + n], (path, letter)
                 else:
-                    state, total, made = (a, b), paid + price, path
+                    state, total, made = ab, paid + price, path
                 old = following.get(state)
                 if old is None or total < old[0]:
                     following[state] = (total, made)
         best = following
-    path, out = min(((paid + flat[(a * SIZE + b) * SIZE], i, path) for i, ((a, b), (paid, path)) in enumerate(best.items())), key=lambda x: x[:2])[2], []
+    path, least = None, float("inf")
+    for ab, (paid, made) in best.items():
+        if paid + flat[ab * SIZE] < least:
+            path, least = made, paid + flat[ab * SIZE]
+    out = []
     while path is not None:
         path, letter = path
         out.append(letter)
@@ -137,20 +183,23 @@ class Restorer:
 
     def __post_init__(self) -> None:
         self.known: dict[str, str] = {}
+        self.runs: dict[str, list[str]] = {}
         self.flat = self.cost.ravel().tolist()
 
     def word(self, token: str) -> str:
-        """A white-space-delimited token in lower case, without the marks around it, decoded where it looks disguised."""
+        """A white-space-delimited token in lower case, without the marks around it, decoded where it may be disguised."""
+        return self.readings(token)[0]
+
+    def readings(self, token: str) -> tuple[str, ...]:
+        """The word, and for a token without letters, which may be a number, the word that it may spell besides."""
+        core = token.strip(MARKS).lower()
+        if not core or core.isalpha() and not DOUBLED.search(core):
+            return (core,)
+        if any(c.isalpha() for c in core):
+            return (self._decoded(core),)
         lead = token.lstrip(EDGES)
-        core = lead.rstrip(EDGES).lower()
-        if not core:
-            return ""
-        before = token[: len(token) - len(lead)][-1:]
-        if before in ("$", "@"):
-            core = before + core
-        if core.isalpha() and not _repeats(core) or not any(c.isalpha() for c in core):
-            return core
-        return self._decoded(core)
+        plain, before = lead.rstrip(EDGES), token[: len(token) - len(lead)][-1:]
+        return (before + plain if plain and before in ("$", "@") else plain), self._decoded(core)
 
     def _decoded(self, token: str) -> str:
         got = self.known.get(token)
@@ -163,20 +212,42 @@ class Restorer:
         return got
 
     def spaced(self, text: str) -> list[str]:
-        """Words spelled with spaces between their letters."""
-        return [w for m in SPACED.finditer(text) for w in self._joined(m[0]).split()]
+        """Words spelled with white space between their letters or parts, where the model prefers them joined."""
+        return self.joined(text.split())
+
+    def joined(self, tokens: list[str]) -> list[str]:
+        """The same, of a text's tokens."""
+        out: list[str] = []
+        for short, group in groupby(tokens, key=_short):
+            if not short:
+                continue
+            run = " ".join(group)
+            if " " not in run:
+                continue
+            got = self.runs.get(run)
+            if got is None:
+                got = decode(run.lower(), self.flat).split()
+                if got:
+                    own = {w for f in run.split() for w in self.readings(f)}
+                    got = [w for w in got if w not in own]
+                if len(run) <= KEPT_LENGTH:
+                    if len(self.runs) >= self.most:
+                        self.runs.clear()
+                    self.runs[run] = got
+            out += got
+        return out
 
     def text(self, text: str) -> str:
         """The whole text restored; white space becomes single spaces."""
-        text = SPACED.sub(lambda m: self._joined(m[0]), text)
+        text = RUN.sub(lambda m: self._joined(m[0]), text)
         return " ".join(filter(None, map(self.word, text.split())))
 
-    def _joined(self, letters: str) -> str:
-        return self._decoded(re.sub(" +", " ", letters).lower())
+    def _joined(self, run: str) -> str:
+        return self._decoded(" ".join(run.split()).lower())
 
 
-def _repeats(word: str) -> bool:
-    return any(a == b == c for a, b, c in zip(word, word[1:], word[2:], strict=False))
+def _short(token: str) -> bool:
+    return len(token) < 4
 
 
 def features(word: str) -> list[str]:
@@ -220,18 +291,21 @@ class Tokens:
         self.restorer, self.known = Restorer(cost), {}
 
     def distinct(self, text: str) -> set[str]:
-        known, out = self.known, set()
-        for token in set(text.split()):
+        known, out, tokens = self.known, set(), text.split()
+        for token in set(tokens):
             word = known.get(token)
             if word is None:
-                if len(known) >= 150_000:
-                    known.clear()
-                word = self.restorer.word(token)
+                words = self.restorer.readings(token)
+                word = words if len(words) > 1 else words[0]
                 if len(token) <= KEPT_LENGTH:
+                    if len(known) >= 150_000:
+                        known.clear()
                     known[token] = word
-            out.add(word)
-        if " " in text:
-            out.update(self.restorer.spaced(text))
+            if word.__class__ is str:
+                out.add(word)
+            else:
+                out.update(word)
+        out.update(self.restorer.joined(tokens))
         out.discard("")
         return out
 

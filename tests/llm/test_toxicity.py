@@ -59,6 +59,18 @@ def test_disguises_of_any_length_are_undone(cost):
     assert all(len(k) <= toxicity.KEPT_LENGTH for k in r.known)
 
 
+def test_every_disguise_of_the_lattice_reaches_it(cost):
+    r, tokens = toxicity.Restorer(cost), toxicity.Tokens(cost)
+    for token, word in {"iddiott": "idiot", "stuupid": "stupid", "mor0n!": "moron", "(l0ser)": "loser", "$tup!d!": "stupid"}.items():
+        assert r.word(token) == word
+    assert "loser" in r.readings("10$3|2") or "los" in r.readings("10$")[1]
+    assert r.readings("2024")[0] == "2024" and r.readings("5(")[0] == "5" and set(r.readings("5(")[1]) <= set("sc")
+    for text in ("1 d ! o t", "i. d. i. o. t", "i\td\ni\to\tt", "idi ot", "i di ot"):
+        assert "idiot" in tokens.distinct(text), text
+    assert "stupid" in tokens.distinct("such stu pid things")
+    assert "moron" in tokens.distinct("m o r o n") and r.word("длинный") == "длинный"
+
+
 def test_trigrams_count_all_texts(spark):
     got = toxicity.trigrams(table(spark, ["ab", "AB ab", None, ""]).select("text"))
     a, b = toxicity.NUMBER["a"], toxicity.NUMBER["b"]
