@@ -35,8 +35,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints: that with the smallest doc_id; of rows that share it, one."""
-    fps = checkpoint(simhash.fingerprints(docs))
+    """One document of each group of linked fingerprints: the row of the smallest doc_id and text hash."""
+    fps = checkpoint(simhash.fingerprints(docs, hashed=True))
     return simhash.representatives(docs, fps)
 
 

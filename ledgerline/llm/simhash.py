@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,17 +45,26 @@ def fingerprint(text: str | None, words: int = 3, seed: int = SEED) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and ``fp``, the fingerprint as a signed long; null and empty texts have 0, other columns stay behind."""
-    schema = T.StructType([df.schema[key], T.StructField("fp", T.LongType())])
+def text_hash(text: str = "text") -> Column:
+    """Tells texts apart; null has a hash of its own."""
+    return F.coalesce(F.sha2(F.col(text).cast("binary"), 256), F.lit(""))
+
+
+def fingerprints(df: DataFrame, words: int = 3, key: str = "doc_id", text: str = "text", hashed: bool = False) -> DataFrame:
+    """key and ``fp``, the fingerprint as a signed long; null and empty texts have 0, other columns stay behind.
+
+    With ``hashed`` a third column, ``text_hash``, tells rows apart that share a key.
+    """
+    more = [T.StructField("text_hash", T.StringType())] if hashed else []
+    schema = T.StructType([df.schema[key], T.StructField("fp", T.LongType()), *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _small(whole):
                 found = np.fromiter((fingerprint(t, words) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=schema.names)
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return df.select(key, text, *([text_hash(text).alias("text_hash")] if hashed else [])).mapInArrow(run, schema)
 
 
 def _syndrome(word: np.ndarray) -> np.ndarray:
@@ -155,16 +164,22 @@ def components(fps: DataFrame, bits: int = 2, key: str = "doc_id") -> DataFrame:
 
 
 def representatives(docs: DataFrame, fps: DataFrame, bits: int = 2, key: str = "doc_id") -> DataFrame:
-    """One row of ``docs`` for each component, that of the smallest key; of rows that share this key, the one with the smallest text hash.
+    """One row of ``docs`` for each component: that of the smallest (key, text hash), null keys last; of equal such rows any one.
 
-    ``fps`` are the rows of ``fingerprints(docs)``. Texts are shuffled once, by key. Rows with a null key name no
-    document: of those with equal texts one stays.
+    ``fps`` are the rows of ``fingerprints(docs, hashed=True)``; without hashes they are made again. Rows that share a key
+    but not a text are documents of their own. Texts are shuffled once, by key and hash.
     """
-    named = components(fps, bits, key)
-    drop = named.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__key")).distinct()
-    kept = docs.join(drop.hint("shuffle_hash"), F.col(key) == F.col("__key"), "left_anti")
-    same = Window.partitionBy(key, F.when(F.col(key).isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"))
-    return kept.withColumn("__copy", F.row_number().over(same)).where("__copy = 1").drop("__copy")
+    if "text_hash" not in fps.columns:
+        fps = fingerprints(docs, key=key, hashed=True)
+    pair = F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), F.col("text_hash").alias("hash"))
+    nodes = checkpoint(fps.groupBy("fp").agg(F.min(pair).alias("least")))
+    joined = stars(links(nodes, bits))
+    members = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("least", F.coalesce("root", "fp").alias("root"))
+    keep = members.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("__key"), F.col("least.hash").alias("__hash"))
+    own = docs.withColumn("__own", text_hash())
+    kept = own.join(keep.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("__key")) & (F.col("__own") == F.col("__hash")), "left_semi")
+    same = Window.partitionBy(key, "__own").orderBy("__own")
+    return kept.withColumn("__copy", F.row_number().over(same)).where("__copy = 1").drop("__copy", "__own")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

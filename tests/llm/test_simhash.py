@@ -107,3 +107,13 @@ def test_query(spark, tmp_path):
     kept = simhash.representatives(twice, simhash.fingerprints(twice))
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(set(want)) and kept.where("doc_id is null").count() == 1
     assert simhash.components(simhash.fingerprints(docs.limit(0))).count() == 0
+
+
+def test_rows_that_share_a_key_are_told_by_text(spark):
+    rng = random.Random(13)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    texts = [(5, a), (5, b), (5, a), (5, c), (2, c), (None, b), (None, None), (7, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in texts], SCHEMA).repartition(3)
+    for fps in (simhash.fingerprints(docs), simhash.fingerprints(docs, hashed=True)):
+        kept = [(r.doc_id, r.text) for r in simhash.representatives(docs, fps).collect()]
+        assert sorted(kept, key=str) == sorted([(5, a), (5, b), (2, c), (7, None)], key=str)
