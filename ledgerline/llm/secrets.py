@@ -39,6 +39,9 @@ LEAST_BODY = 19
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{19,}={0,2}")
 #: Tokens that go on over line breaks, indented or quoted; each quantifier is possessive, so that matching is linear.
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r\n|\n|\r)[ \t>]*+[A-Za-z0-9+/_-]++)++={0,2}")
+#: Read backwards from a window's end: whatever a token, an escape or a match could still be open in, joined over line
+#: breaks and over the blanks that an assignment may have; before it, the rest of a character.
+OPEN = re.compile(rb"[\x80-\xff]{0,3}+(?:[A-Za-z0-9+/_.=%\\{}\"':-]|[ \t>]*+[\r\n]++[ \t]*+)*+(?:\x20++[A-Za-z0-9+/_.=%\\{}\"':-]*+){0,2}+")
 PIECE = re.compile(r"[A-Za-z0-9+/_-]+")
 URL_SAFE = str.maketrans("-_", "+/")
 
@@ -115,18 +118,41 @@ def _spliced(layer: Layer, pattern: re.Pattern, decoded) -> Iterator[Layer]:
         yield Layer("".join([*parts, text[at:]]), np.concatenate([*starts, own[at:]]), np.concatenate([*ends, ends_of[at:]]))
 
 
-def _inflated(data: bytes | memoryview, window: int, overlap: int = 4096) -> Iterator[str]:
-    """Text of gzip or zlib data, in overlapping windows, so that a small payload of huge content needs bounded memory."""
-    unpack, rest, kept = zlib.decompressobj(47), data, b""
+def _inflated(data: bytes | memoryview, window: int) -> Iterator[str]:
+    """Text of gzip or zlib data, all members in turn, in windows that end where no token or match is open.
+
+    What is open at a window's end is kept back to its start, so memory follows the window and the longest such run.
+    """
+    kept: list[bytes] = []
+    for made in _unpacked(data, window):
+        open_at = len(made) - OPEN.match(made[::-1]).end()
+        if open_at:
+            yield b"".join([*kept, made[:open_at]]).decode("utf-8", "surrogateescape")
+            kept = []
+        kept.append(made[open_at:])
+    if any(kept):
+        yield b"".join(kept).decode("utf-8", "surrogateescape")
+
+
+def _unpacked(data: bytes | memoryview, window: int) -> Iterator[bytes]:
+    """What the members of compressed data unpack to, as far as they can be unpacked."""
+    view, at = memoryview(data), 0
     try:
-        while rest:
-            made = unpack.decompress(rest, window)
-            rest = unpack.unconsumed_tail
-            if made:
-                yield (kept + made).decode("utf-8", "replace")
-                kept = made[-overlap:]
-            elif not rest or unpack.eof:
-                return
+        while at < len(view) and (at == 0 or _compressed(view[at : at + 2])):
+            unpack = zlib.decompressobj(47)
+            while not unpack.eof:
+                rest = unpack.unconsumed_tail
+                if not rest and at < len(view):
+                    rest = bytes(view[at : at + (1 << 16)])
+                    at += len(rest)
+                made = unpack.decompress(rest, window)
+                if made:
+                    yield made
+                elif not rest:
+                    return
+            at -= len(unpack.unused_data)
+            while at < len(view) and view[at] == 0:
+                at += 1
     except zlib.error:
         return
 
@@ -196,18 +222,23 @@ def _wrapped(layer: Layer, window: int) -> Iterator[Layer]:
 
 
 def _packed_length(data: memoryview, window: int) -> int:
-    """How many bytes compressed data takes up; 0 if nothing can be unpacked."""
-    unpack, at, made = zlib.decompressobj(47), 0, False
+    """How many bytes compressed data takes up, all members together; 0 if nothing can be unpacked."""
+    at, made = 0, False
     try:
-        while at < len(data) and not unpack.eof:
-            rest = bytes(data[at : at + (1 << 16)])
-            at += len(rest)
-            while rest and not unpack.eof:
-                made = bool(unpack.decompress(rest, window)) or made
-                rest = unpack.unconsumed_tail
+        while at < len(data) and (at == 0 or _compressed(data[at : at + 2])):
+            unpack = zlib.decompressobj(47)
+            while at < len(data) and not unpack.eof:
+                rest = bytes(data[at : at + (1 << 16)])
+                at += len(rest)
+                while rest and not unpack.eof:
+                    made = bool(unpack.decompress(rest, window)) or made
+                    rest = unpack.unconsumed_tail
+            at -= len(unpack.unused_data)
+            while at < len(data) and data[at] == 0:
+                at += 1
     except zlib.error:
         return len(data) if made else 0
-    return at - len(unpack.unused_data) if made else 0
+    return at if made else 0
 
 
 def scan_text(text: str | None, window: int = 16 << 20) -> list[tuple[int, int, int, bool]]:

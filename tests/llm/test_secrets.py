@@ -80,6 +80,27 @@ def test_cycles_and_large_payloads_end():
     assert secrets.scan_text(b64(b"\x1f\x8bnot gzip at all.......")) == []
 
 
+def test_windows_cut_nothing():
+    noise = "".join(f"{sha256(str(i).encode()).hexdigest()[:25]} é " for i in range(6000))
+    inner = b64(gzip.compress((noise + PW).encode()))
+    assert len(inner) > 100_000
+    for window in (20_000, 30_011):
+        for fill in (0, 7_001, 19_990, 30_003):
+            outer = b64(gzip.compress(("é " * (fill // 3) + "." * (fill % 3) + " " + inner + " end").encode()))
+            assert secrets.scan_text(outer, window=window) == [(0, 0, len(outer), False)], (window, fill)
+    for fill in range(990, 1010):
+        outer = b64(zlib.compress(("é" * 3 + "- " * (fill // 2) + "." * (fill % 2) + " password = 'hunter2hunter2' end" + " x" * 900).encode()))
+        assert secrets.scan_text(outer, window=1000) == [(0, 0, len(outer), False)], fill
+
+
+def test_all_members():
+    for members in ((b"one", b"two", PW.encode()), (PW[:12].encode(), PW[12:].encode()), (b"", b"x" * 200_000, PW.encode() + b" ")):
+        outer = b64(b"".join(map(gzip.compress, members)))
+        assert secrets.scan_text(outer, window=1000) == [(0, 0, len(outer), False)]
+        lines = wrap(outer, 76)
+        assert secrets.scan_text(lines)
+
+
 def test_query(spark, tmp_path):
     texts = [*ODD, f"{PW} and AKIA{'B' * 16}", f"see {b64(PW.encode())}", PW + " " + PW, "f" * 40]
     docs = table(spark, texts)
