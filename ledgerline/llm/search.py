@@ -1,4 +1,4 @@
-"""Exact BM25 top-k search by block-max WAND, run per shard and merged exactly.
+"""Exact BM25 top-k search with block-max bounds, run per shard and merged exactly.
 
 A shard is a run of documents of an input split: an inverted index in numpy arrays, its documents ordered so that like
 ones stand together and cut into blocks. For a query, the exact sums of its rare terms and the block maxima of its
