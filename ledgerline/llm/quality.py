@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import _small
-from .common import table
+from .common import table, teaching
 
 #: White space between words, and the characters that count as symbols.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -179,13 +179,9 @@ def measured(df: DataFrame, key: str = "doc_id", text: str = "text", extra: tupl
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", sample_rows: int = 20_000) -> Forest:
-    """Fits on at most ``sample_rows`` labelled rows, those of the smallest key hash; rows without key or label are left out.
-
-    The sample is the bound of what is broadcast and of what reaches the driver: one row of features for each.
-    """
-    known = labels.select(key, F.col(label).cast("double").alias("__label")).dropna().orderBy(F.xxhash64(key), "__label").limit(sample_rows)
-    rows = measured(docs.select(key, "text").join(F.broadcast(known), key), key, extra=("__label",))
-    got = rows.select("__label", "features").orderBy(F.xxhash64(key), F.xxhash64("features")).limit(sample_rows).toPandas()
+    """Fits on at most ``sample_rows`` labelled rows (``common.teaching``): one row of features for each reaches the driver."""
+    rows = measured(teaching(docs, labels, label, sample_rows, key), "__label")
+    got = rows.select("__label", "features").orderBy("__label", F.xxhash64("features")).toPandas()
     x = np.array(got["features"].tolist(), dtype=np.float64).reshape(-1, len(FEATURES))
     return fit(x, got["__label"].to_numpy(dtype=np.float64), tuple(FEATURES.values()))
 
