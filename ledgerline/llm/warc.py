@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, partitions_for, scratch, table
+from .common import checkpoint, discard, partitions_for, scratch, table
 
 #: Payloads from this size on are deduplicated; the format's line and record ends.
 LEAST = 100
@@ -42,18 +42,20 @@ def archive(pages: DataFrame, path: str, file_bytes: int = 32 << 20) -> None:
 
     Of pages with equal payloads of ``LEAST`` bytes or more, that with the smallest page_id is the response; among rows
     that repeat it, one is. Null payloads are empty; a null url is written as ``urn:unknown``, and line ends in a url
-    as spaces. A null page_id is a page of its own that comes after all others. Other columns stay behind. An empty
-    table writes no records.
+    as spaces. A null page_id comes after all others and its records name no page; rows without one are told apart by
+    payload and number. Keys are written URL-encoded, so any text may be one. Other columns stay behind. An empty table
+    writes no records.
 
     The verdicts come from narrow rows of key, digest and size, written to the shared folder, so that payloads are
     shuffled once, by key and digest, and never meet by digest, however many pages share one.
     """
-    page = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
+    page = F.coalesce(F.concat(F.lit("="), F.col("page_id").cast("string")), F.lit("null"))
     html = F.coalesce("html", F.lit(""))
     narrow = checkpoint(pages.select("page_id", F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).cast("long").alias("bytes")))
     parts = partitions_for(narrow.agg(F.sum(F.col("bytes") + 1024)).first()[0], file_bytes)
     long = narrow.where(F.col("bytes") >= LEAST).select(page.alias("__page"), "page_id", F.col("digest").alias("__digest"))
-    shared = long.groupBy("__digest").agg(F.coalesce(F.min("page_id").cast("string"), F.lit("null")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = F.coalesce(F.concat(F.lit("="), F.min("page_id").cast("string")), F.lit("null"))
+    shared = checkpoint(long.groupBy("__digest").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))  # so that AQE can split a digest that most pages have
     shared = long.join(shared, "__digest").select("__page", "__digest", "first").distinct().repartition(parts, "__page", "__digest")
 
     rows = pages.select(page.alias("page"), F.regexp_replace(F.coalesce("url", F.lit("urn:unknown")), "[\\r\\n]", " ").alias("uri"), html.alias("html")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
@@ -70,7 +72,8 @@ def archive(pages: DataFrame, path: str, file_bytes: int = 32 << 20) -> None:
     beside = F.concat(F.lit("WARC-Concurrent-To: "), F.col("main"))
     host = F.coalesce(F.nullif(F.regexp_extract("uri", "^[a-z]+://([^/]+)", 1), F.lit("")), F.lit("unknown"))
     request = F.concat(F.lit(f"GET / HTTP/1.1{EOL}Host: "), host, F.lit(END))
-    fields = F.concat(F.lit("page: "), F.col("page"), F.lit(f"{EOL}payload-length: "), F.octet_length("html").cast("string"), F.lit(EOL))
+    named = F.when(F.col("page") != "null", F.concat(F.lit("page: "), F.url_encode(F.substring("page", 2, 1 << 30)), F.lit(EOL))).otherwise(F.lit(""))
+    fields = F.concat(named, F.lit("payload-length: "), F.octet_length("html").cast("string"), F.lit(EOL))
     records = F.array(
         _record(F.lit("request"), _record_id("request", *own), "application/http; msgtype=request", request, [beside]),
         _record(F.col("kind"), F.col("main"), "application/http; msgtype=response", http, [digest, refers]),
@@ -181,7 +184,8 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     archive(pages, path)
     kind = pages.schema["page_id"].dataType
-    found = checkpoint(captures(spark, path, payloads=False).select("capture_id", F.col("metadata.fields")["page"].cast(kind).alias("page_id"), F.col("metadata.fields")["payload-length"].cast("long").alias("told_bytes"), "response.*"))
+    found = checkpoint(captures(spark, path, payloads=False).select("capture_id", F.url_decode(F.col("metadata.fields")["page"]).cast(kind).alias("page_id"), F.col("metadata.fields")["payload-length"].cast("long").alias("told_bytes"), "response.*"))
+    discard(spark, path)
     sources = found.select(F.col("capture_id").alias("refers_to"), F.col("page_id").alias("source"))
     named = found.join(sources, "refers_to", "left")
     return named.select(

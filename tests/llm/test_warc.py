@@ -35,6 +35,16 @@ def test_query(spark, tmp_path):
     check(rows, warc.op6_warc(spark, str(tmp_path)).collect())
 
 
+def test_null_and_repeated_keys_and_clashing_names(spark, tmp_path):
+    same, lone = "n" * 150, "l" * 150
+    rows = [(None, None, same), (4, "u", same), (4, "u", same), (None, "u", lone), (None, "u", lone), (None, None, None), (9, "v", "")]
+    extra = ["__page", "__digest", "first", "copy", "kind", "main", "source", "digest", "uri", "value", "bytes"]
+    docs = spark.createDataFrame([(*r, *extra) for r in rows], SCHEMA + "".join(f", {c} string" for c in extra))
+    docs.repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted((str(r.page_id), r.payload_bytes, r.record_type, str(r.refers_to)) for r in warc.op6_warc(spark, str(tmp_path)).collect())
+    assert got == [("4", 150, "response", "None"), ("4", 150, "revisit", "4"), ("9", 0, "response", "None"), ("None", 0, "response", "None"), ("None", 150, "response", "None"), ("None", 150, "revisit", "4"), ("None", 150, "revisit", "None")]
+
+
 def test_archives_are_plain_and_captures_nest(spark, tmp_path):
     rows = [(1, "https://a.example/x", "z" * 120), (2, "https://b.example/y", "z" * 120), (2, "https://b.example/y", "z" * 120)]
     path = str(tmp_path / "archive")
