@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .common import checkpoint, fresh, quoted, table, without
 
 WORD = "[^ \\t\\n\\x0B\\f\\r]+"
 PLACE = ("d", "th")
@@ -52,8 +52,7 @@ def suffix_ranks(lines: DataFrame, min_words: int, levels: int) -> DataFrame:
     """
     repeated = _numbered(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1"), "h1", "h2", "r0")
     document = Window.partitionBy(*PLACE)
-    copy = F.lag("j").over(document.orderBy("j")) == F.col("j")
-    rows = lines.join(repeated, ["h1", "h2"]).drop("h1", "h2").withColumn("copy", F.coalesce(copy, F.lit(False))).where("not copy").drop("copy")
+    rows = lines.join(repeated, ["h1", "h2"]).drop("h1", "h2").dropDuplicates([*PLACE, "j"])  # rows that repeat are one document, however many they are
     rows = rows.withColumn("seg", F.col("j") - F.row_number().over(document.orderBy("j")))
     rows = rows.withColumn("all", F.sum("w").over(Window.partitionBy(*PLACE, "seg"))).where(F.col("all") >= min_words).drop("all")
     rows = checkpoint(rows)
@@ -93,7 +92,7 @@ def deletions(docs: DataFrame, min_words: int = 50, key: str = "doc_id", text: s
     lines = checkpoint(_lines(docs, key, text))
     runs = checkpoint(_runs(suffix_ranks(lines, min_words, levels), min_words, levels))
     name = ["length", "x", "y"]
-    first = runs.groupBy(*name).agg(F.min(F.struct(*PLACE, "start")).alias("earliest"))
+    first = checkpoint(runs.groupBy(*name).agg(F.min(F.struct(*PLACE, "start")).alias("earliest"), F.count("*").alias("n")).where("n > 1").drop("n"))  # so that AQE can split a run that most documents have
     later = runs.join(first, name).where(F.struct(*PLACE, "start") > F.col("earliest")).select(*PLACE, "start", "end").distinct()
     order = Window.partitionBy(*PLACE).orderBy("start", "end")
     reach = F.max("end.j").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -103,22 +102,25 @@ def deletions(docs: DataFrame, min_words: int = 50, key: str = "doc_id", text: s
     return spans.groupBy(*PLACE).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns, ``text`` without later copies of line runs, and ``removed_lines`` (long).
+def dedup_lines(docs: DataFrame, min_words: int = 50, key: str = "doc_id", text: str = "text", into: str = "removed_lines") -> DataFrame:
+    """All columns, ``text`` without later copies of line runs, and ``into`` (long), the number of lines removed.
 
     Null and empty texts stay as they are. Rows that repeat both key and text are one document and are all treated
     alike; rows that share only the key are documents ordered by the hash of their text; a null key comes first.
     A text that loses all its lines becomes empty. Empty tables give empty tables. The corpus order decides which copy
-    is the first, so the result does not depend on partitioning.
+    is the first, so the result does not depend on partitioning. A column that has the name ``into`` already, in any
+    case, is replaced; names of other columns don't matter.
     """
+    docs = without(docs, into)
     found = deletions(docs, min_words, key, text)
-    gone = found.select(F.col("d").alias("__d"), F.col("th").alias("__th"), F.col("spans").alias("__spans"))
-    joined = docs.withColumn("__hash", F.xxhash64(text)).join(gone.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("__d")) & (F.col("__hash") == F.col("__th")), "left")
+    d, th, spans, own = (fresh(docs, n) for n in ("__d", "__th", "__spans", "__hash"))
+    gone = found.select(F.col("d").alias(d), F.col("th").alias(th), F.col("spans").alias(spans))
+    joined = docs.withColumn(own, F.xxhash64(text)).join(gone.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col(d)) & (F.col(own) == F.col(th)), "left")
     lines = F.transform(F.split(text, "\n", -1), lambda line, i: F.struct(i.alias("i"), line.alias("line")))
-    kept = F.filter(lines, lambda x: ~F.exists("__spans", lambda s: x["i"].between(s["start"], s["end"])))
-    texts = F.when(F.col("__spans").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
-    removed = F.coalesce(F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"] + 1), F.lit(0).cast("long"))
-    return joined.select(*(texts.alias(text) if c == text else F.col(c) for c in docs.columns), removed.alias("removed_lines"))
+    kept = F.filter(lines, lambda x: ~F.exists(spans, lambda s: x["i"].between(s["start"], s["end"])))
+    texts = F.when(F.col(spans).isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
+    removed = F.coalesce(F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"] + 1), F.lit(0).cast("long"))
+    return joined.select(*(texts.alias(text) if c == text else F.col(quoted(c)) for c in docs.columns), removed.alias(into))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

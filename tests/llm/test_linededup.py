@@ -70,6 +70,17 @@ def test_repeated_and_null_keys_and_clashing_names(spark):
     assert linededup.dedup_lines(docs.limit(0), 50).count() == 0
 
 
+def test_own_names_and_odd_names_as_columns(spark):
+    text = prose(random.Random(8), 60)
+    names = ["__d", "__th", "__spans", "__hash", "_removed", "a.b", "x", "seg", "r0", "start", "n"]
+    docs = spark.createDataFrame([(i, text, *names) for i in (1, 2)], "doc_id long, text string" + "".join(f", `{c}` string" for c in names)).withColumn("Removed_Lines", F.lit(77))
+    got = linededup.dedup_lines(docs, 50)
+    assert got.columns == ["doc_id", "text", *names, "removed_lines"]
+    assert sorted((r.doc_id, r.removed_lines, r["a.b"], r["__d"]) for r in got.collect()) == [(1, 0, "a.b", "__d"), (2, 1, "a.b", "__d")]
+    kept = linededup.dedup_lines(docs, 50, into="gone")
+    assert {r.Removed_Lines for r in kept.collect()} == {77}
+
+
 def test_no_python_in_the_plan(spark):
     plan = linededup.dedup_lines(table(spark, ["a b", "a b"]), 2)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
