@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import _small
-from .common import checkpoint, table
+from .common import checkpoint, fresh, quoted, table
 
 SEED = 42
 CODE_BITS = 31
@@ -120,7 +120,8 @@ def stars(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b) but the roots; the root is the smallest node of its component.
 
     Large stars and small stars alternate (Kiveris et al., 2014) until nothing changes. Each round is written to the
-    shared folder; only its row count and a checksum reach the driver.
+    shared folder; only its row count and a checksum reach the driver. So are the least neighbours, or the join with
+    them could not be split where a hub has most of the edges.
     """
 
     def around(e: DataFrame) -> DataFrame:
@@ -135,10 +136,10 @@ def stars(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not seen[0]:
             break
         all_ = around(now)
-        least = all_.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = checkpoint(all_.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = all_.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
         large = checkpoint(large)
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
+        least = checkpoint(large.groupBy("b").agg(F.min("a").alias("m")))
         small = large.join(least, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         now = checkpoint(small)
         was, seen = seen, state(now)
@@ -157,8 +158,8 @@ def components(fps: DataFrame, bits: int = 2, key: str = "doc_id") -> DataFrame:
     """
     nodes = checkpoint(fps.groupBy("fp").agg(F.min(key).alias("least")))
     joined = stars(links(nodes, bits))
-    members = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = members.groupBy("root").agg(F.min("least").alias("component_id"))
+    members = checkpoint(nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    least = checkpoint(members.groupBy("root").agg(F.min("least").alias("component_id")))
     named = members.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select(key, "fp", "component_id")
 
@@ -167,19 +168,21 @@ def representatives(docs: DataFrame, fps: DataFrame, bits: int = 2, key: str = "
     """One row of ``docs`` for each component: that of the smallest (key, text hash), null keys last; of equal such rows any one.
 
     ``fps`` are the rows of ``fingerprints(docs, hashed=True)``; without hashes they are made again. Rows that share a key
-    but not a text are documents of their own. Texts are shuffled once, by key and hash.
+    but not a text are documents of their own. Texts are shuffled once, by key and hash. Names of other columns don't matter.
     """
     if "text_hash" not in fps.columns:
         fps = fingerprints(docs, key=key, hashed=True)
-    pair = F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), F.col("text_hash").alias("hash"))
-    nodes = checkpoint(fps.groupBy("fp").agg(F.min(pair).alias("least")))
+    no_key, told = F.col(key).isNull(), F.coalesce(F.col(key).cast("string"), F.lit(""))
+    row = F.struct(no_key.alias("no_key"), F.col(key).alias("key"), F.concat_ws(":", no_key.cast("string"), told, "text_hash").alias("row"))
+    nodes = checkpoint(fps.groupBy("fp").agg(F.min(row).alias("least")))
     joined = stars(links(nodes, bits))
     members = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("least", F.coalesce("root", "fp").alias("root"))
-    keep = members.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("__key"), F.col("least.hash").alias("__hash"))
-    own = docs.withColumn("__own", text_hash())
-    kept = own.join(keep.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("__key")) & (F.col("__own") == F.col("__hash")), "left_semi")
-    same = Window.partitionBy(key, "__own").orderBy("__own")
-    return kept.withColumn("__copy", F.row_number().over(same)).where("__copy = 1").drop("__copy", "__own")
+    own, copy, mark = (fresh(docs, n) for n in ("__row", "__copy", "__kept"))
+    keep = members.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias(mark))
+    rows = docs.withColumn(own, F.concat_ws(":", no_key.cast("string"), told, text_hash()))
+    one = rows.withColumn(copy, F.row_number().over(Window.partitionBy(own).orderBy(own))).where(F.col(copy) == 1)  # a row for each map task goes on, however many copies there are
+    kept = one.join(keep.hint("shuffle_hash"), F.col(own) == F.col(mark), "left_semi")
+    return kept.select(*(quoted(c) for c in docs.columns))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,3 +117,12 @@ def test_rows_that_share_a_key_are_told_by_text(spark):
     for fps in (simhash.fingerprints(docs), simhash.fingerprints(docs, hashed=True)):
         kept = [(r.doc_id, r.text) for r in simhash.representatives(docs, fps).collect()]
         assert sorted(kept, key=str) == sorted([(5, a), (5, b), (2, c), (7, None)], key=str)
+
+
+def test_own_names_as_columns_and_a_group_of_copies(spark):
+    rng = random.Random(17)
+    a, b = prose(rng, 80), prose(rng, 80)
+    names = ["__row", "__copy", "__kept", "__key", "__own", "fp", "least", "a.b"]
+    docs = spark.createDataFrame([(k, t, *names) for k, t in [(1, a)] * 30 + [(2, a), (3, b)]], "doc_id long, text string" + "".join(f", `{c}` string" for c in names))
+    kept = simhash.representatives(docs, simhash.fingerprints(docs, hashed=True))
+    assert kept.columns == docs.columns and sorted((r.doc_id, r["__copy"], r["a.b"]) for r in kept.collect()) == [(1, "__copy", "a.b"), (3, "__copy", "a.b")]
