@@ -41,6 +41,26 @@ def test_stages(spark, tmp_path):
     assert whole == {tuple(r[c] for c in ("doc_id", "start", "length", "ids_crc32")) for r in docs.collect()}
 
 
+def test_stages_keep_columns_that_clash_and_take_odd_rows(spark, tmp_path):
+    rng = random.Random(19)
+    long = prose(rng, 30_000)
+    own = prose(rng, 70)
+    texts = [None, "", own, own, long, "\n" * 50, prose(rng, 60)]
+    names = ["score", "removed_lines", "__key", "__row", "__label", "words", "spans", "fp"]
+    rows = [(None if i == 6 else 1 if i in (2, 3) else i, t, None, "s", None, *names) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, SCHEMA + "".join(f", {c} string" for c in names))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, 1, 0), (1, 1, 1), (1, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"odd{k}"))
+        after = spark.read.parquet(str(tmp_path / f"odd{k}"))
+        if k < 4:
+            assert after.columns == docs.columns and all(r[c] == c for r in after.collect() for c in names)
+        docs = after
+    assert {r.doc_id for r in docs.collect()} >= {4, None}
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
