@@ -1,7 +1,8 @@
 """The corpus pipeline: documents in, packed sequences out.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's ``docs``. All but the last return the columns of ``documents``; ``n_chars`` follows the text.
+stage's ``docs``. All but the last return the columns of ``documents``, whatever others the table has beside its own;
+``n_chars`` follows the text.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import linededup, packing, secrets, simhash, toxicity
-from ledgerline.llm.common import checkpoint, scratch, table
+from ledgerline.llm.common import checkpoint, discard, fresh, scratch, table
 
 TOXIC = 0.7
 MIN_WORDS = 50
@@ -25,13 +26,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under 0.7; the model learns from labelled ones among ``docs`` that are not held out."""
     labels = table(spark, sf_dir, "labels").where(~toxicity.held_out(F.col("doc_id")))
     model = toxicity.train(docs, labels)
-    return toxicity.score(docs, model).where(F.col("score") < TOXIC).drop("score")
+    score = fresh(docs, "score")
+    return toxicity.score(docs, model, into=score).where(F.col(score) < TOXIC).drop(score)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of line runs of 50 words or more; those that lose all their text go."""
-    deduped = linededup.dedup_lines(docs, MIN_WORDS)
-    return _counted(deduped.where((F.col("removed_lines") == 0) | (F.col("text") != "")).drop("removed_lines"))
+    removed = fresh(docs, "removed_lines")
+    deduped = linededup.dedup_lines(docs, MIN_WORDS, into=removed)
+    return _counted(deduped.where((F.col(removed) == 0) | (F.col("text") != "")).drop(removed))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,9 +68,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, read = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = scratch(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if read:
+            discard(spark, read)
+        read = path
     return STAGES[-1][1](spark, docs, sf_dir)
