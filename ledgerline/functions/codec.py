@@ -71,3 +71,24 @@ def from_sized(data: Column) -> Column:
 def checked_uint32(value: Column) -> Column:
     """The value as long; null beyond 0 to 2^32 - 1."""
     return F.when(value.between(0, (1 << 32) - 1), value.cast("long"))
+
+
+def boolean(value: Column) -> Column:
+    """One byte, 0 or 1."""
+    return F.when(value, F.unhex(F.lit("01"))).when(~value, F.unhex(F.lit("00")))
+
+
+def from_boolean(data: Column) -> Column:
+    """True or false; null for what is neither."""
+    return F.when(F.hex(data) == "01", F.lit(True)).when(F.hex(data) == "00", F.lit(False))
+
+
+def section(data: Column, start: Column | int, length: Column | int) -> Column:
+    """``length`` raw bytes from ``start`` (0 is the first) on; null if there are not so many."""
+    start, length = (F.lit(x) if isinstance(x, int) else x for x in (start, length))
+    return F.when((start >= 0) & (length >= 0) & (start + length <= F.octet_length(data)), F.substring(data, (start + 1).cast("int"), length.cast("int")))
+
+
+def strictly(decoded: Column, data: Column, what: str) -> Column:
+    """``decoded``, which is an error where it is null though ``data`` is not: bytes are missing or out of range."""
+    return F.when(decoded.isNull() & data.isNotNull(), F.raise_error(F.lit(f"bad {what}"))).otherwise(decoded)

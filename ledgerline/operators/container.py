@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.compare import Op, tuple_predicate
+from ..sources.store import checkpoint
 from .order import nearest, neighbours, ranked
 from .scan import bound_of
 
@@ -39,11 +40,27 @@ class Ordered:
         return found[0] if found else None
 
     def remove(self, keys: DataFrame) -> Ordered:
-        """Takes away one row for each row of ``keys``, as long as there are any; missing keys do nothing."""
-        n = keys.groupBy(*self.keys).agg(F.count("*").alias("_n"))
-        order = Window.partitionBy(*self.keys).orderBy(*([c for c in self.df.columns if c not in self.keys] or self.keys))
-        left = self.df.withColumn("_rn", F.row_number().over(order)).join(n, list(self.keys), "left")
-        return replace(self, df=left.where(F.col("_rn") > F.coalesce("_n", F.lit(0))).select(*self.df.columns))
+        """Takes away one row for each row of ``keys``, as long as there are any; missing keys do nothing.
+
+        Copies of a key are counted where they lie, part by part, and each part is told how many of its own go. So the
+        copies of a key never come together, however many there are.
+        """
+        return self._without(keys, list(self.keys))
+
+    def remove_items(self, rows: DataFrame) -> Ordered:
+        """Takes away one row for each of ``rows`` that equals it in all columns: what a cursor stands on, say. Missing rows do nothing."""
+        return self._without(rows, self.df.columns)
+
+    def _without(self, rows: DataFrame, columns: list[str]) -> Ordered:
+        key = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+        wanted = rows.select(key.alias("_key")).groupBy("_key").agg(F.count("*").alias("_n"))
+        here = checkpoint(self.df.withColumns({"_key": key, "_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()}))
+        there = here.groupBy("_key", "_part").agg(F.count("*").alias("_there")).join(wanted, "_key")
+        before = F.coalesce(F.sum("_there").over(Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        quota = checkpoint(there.select("_key", "_part", F.least("_there", F.col("_n") - before).alias("_go")).where("_go > 0"))
+        own = F.row_number().over(Window.partitionBy("_key", "_part").orderBy("_id"))
+        left = here.join(quota, ["_key", "_part"], "left").withColumn("_own", own)
+        return replace(self, df=left.where(F.col("_own") > F.coalesce("_go", F.lit(0))).select(*self.df.columns))
 
     def remove_key(self, *key) -> Ordered:
         schema = ", ".join(f"`{k}` {self.df.schema[k].dataType.simpleString()}" for k in self.keys)
@@ -70,6 +87,12 @@ class Ordered:
     def last(self) -> Row | None:
         return next(iter(self.sorted(True).take(1)), None)
 
+    def remove_at(self, row: Row) -> tuple[Ordered, Row | None]:
+        """(the container without ``row``, the row that a cursor standing on it goes on to)."""
+        spark = self.df.sparkSession
+        rest = self.remove_items(spark.createDataFrame([row], self.df.schema))
+        return rest, rest.find(Op.GE, tuple(row[k] for k in self.keys))
+
     def find(self, op: Op | str, key) -> Row | None:
         """The row nearest to the bound that is ``op`` it: equal, ceiling (GE), higher (GT), floor (LE) or lower (LT). None bounds nothing."""
         op, bound = Op.of(op), bound_of(key, len(self.keys))

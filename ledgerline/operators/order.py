@@ -13,17 +13,22 @@ from pyspark.sql import functions as F
 
 from ..sources.store import checkpoint
 
-CHUNK = "_chunk"
+CHUNK, TIE = "_chunk", "_tie"
 
 
 def chunked(df: DataFrame, keys: Sequence[str], descending: bool = False) -> DataFrame:
-    """``df`` with ``_chunk``: all rows of a chunk precede those of later chunks by ``keys``. Written once to the shared folder, so that every reader sees the same chunks."""
+    """``df`` with ``_chunk`` and ``_tie``: all rows of a chunk precede those of later chunks by ``keys``, then ``_tie``.
+
+    Rows with equal keys are dealt by a hash of all their columns and by the task that has them, so a key that many rows
+    share fills many chunks and not one. Written once to the shared folder, so that every reader sees the same chunks.
+    """
     order = [F.col(k).desc() if descending else F.col(k).asc() for k in keys]
-    return checkpoint(df.repartitionByRange(*order).withColumn(CHUNK, F.spark_partition_id()))
+    rows = df.withColumn(TIE, F.xxhash64(*df.columns)).withColumn("_task", F.spark_partition_id())
+    return checkpoint(rows.repartitionByRange(*order, TIE, "_task").drop("_task").withColumn(CHUNK, F.spark_partition_id()))
 
 
 def _ordered(keys: Sequence[str], descending: bool):
-    return Window.partitionBy(CHUNK).orderBy(*(F.col(k).desc() if descending else F.col(k).asc() for k in keys))
+    return Window.partitionBy(CHUNK).orderBy(*(F.col(k).desc() if descending else F.col(k).asc() for k in keys), TIE)
 
 
 def ranked(df: DataFrame, keys: Sequence[str], descending: bool = False, rank: str = "rank") -> DataFrame:
@@ -40,7 +45,8 @@ def neighbours(df: DataFrame, keys: Sequence[str], value: str, previous: str = "
     """``df`` with ``value`` of the row before and of the row after in the order of ``keys``; null at the ends."""
     rows = chunked(df, keys)
     inside = _ordered(keys, False)
-    edges = rows.groupBy(CHUNK).agg(F.max_by(value, F.struct(*keys)).alias("_last"), F.min_by(value, F.struct(*keys)).alias("_first"))
+    place = F.struct(*keys, TIE)
+    edges = rows.groupBy(CHUNK).agg(F.max_by(value, place).alias("_last"), F.min_by(value, place).alias("_first"))
     along = Window.orderBy(CHUNK)
     edges = edges.select(CHUNK, F.lag("_last").over(along).alias("_before"), F.lead("_first").over(along).alias("_after"))
     own = rows.withColumns({"_p": F.lag(value).over(inside), "_n": F.lead(value).over(inside), "_rn": F.row_number().over(inside), "_left": F.count("*").over(Window.partitionBy(CHUNK))})

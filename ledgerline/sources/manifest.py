@@ -13,15 +13,42 @@ FOLDER = "_manifests"
 
 
 @dataclass(frozen=True)
-class Run:
-    """One immutable, key-sorted set of files. ``rows`` counts its keys, tombstones included."""
+class Part:
+    """One immutable file, sorted by key: its path below the runs, its counts, and its least and greatest key (``spec.comparable``)."""
 
-    run_id: str
+    path: str
     rows: int
     deleted: int
     bytes: int
+    low: tuple
+    high: tuple
+
+
+@dataclass(frozen=True)
+class Run:
+    """Files in key order whose key ranges don't overlap. ``rows`` counts keys, tombstones included."""
+
+    run_id: str
+    parts: tuple[Part, ...]
     max_seq: int
 
+    @property
+    def rows(self) -> int:
+        return sum(p.rows for p in self.parts)
+
+    @property
+    def deleted(self) -> int:
+        return sum(p.deleted for p in self.parts)
+
+    @property
+    def bytes(self) -> int:
+        return sum(p.bytes for p in self.parts)
+
+    @classmethod
+    def from_dict(cls, d: dict) -> Run:
+        parts = tuple(Part(**{**p, "low": tuple(p["low"]), "high": tuple(p["high"])}) for p in d["parts"])
+        return cls(d["run_id"], parts, d["max_seq"])
+
 
 @dataclass(frozen=True)
 class Manifest:
@@ -55,9 +82,9 @@ class Manifest:
     @classmethod
     def from_bytes(cls, data: bytes) -> Manifest:
         d = json.loads(data)
-        if d.get("format_version", 0) > FORMAT_VERSION:
-            raise ValueError(f"format version {d['format_version']} is newer than {FORMAT_VERSION}")
-        levels = tuple(tuple(Run(**r) for r in level) for level in d["levels"])
+        if d.get("format_version", 0) != FORMAT_VERSION:
+            raise ValueError(f"format version {d.get('format_version')} is not {FORMAT_VERSION}")
+        levels = tuple(tuple(map(Run.from_dict, level)) for level in d["levels"])
         return cls(TableSpec.from_json(d["spec"]), d["version"], d["next_seq"], levels, d["format_version"], d.get("notes", {}))
 
 

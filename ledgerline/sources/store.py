@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import AbstractContextManager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,10 +17,13 @@ class ObjectNotFound(FileNotFoundError):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names, which driver and executors share; a temporary one where it is unset."""
+    """The folder that ``spark.checkpoint.dir`` names, which driver and executors share; in local mode, where that is unset, a temporary one."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerline-"))
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ledgerline-"))
     return sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
 
 
@@ -33,10 +39,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 class ObjectStore:
-    """List, read, write and delete objects by path relative to ``base``."""
+    """List, read, write and delete objects by path relative to ``base``.
 
-    def __init__(self, spark: SparkSession, base: str):
-        self.spark, self.base = spark, base.rstrip("/")
+    Stores whose rename copies and deletes (plain object stores) can't create a name exclusively; for them ``lock`` makes
+    a context that one writer at a time is in, given the object's path: a lease in a table or a lock service.
+    """
+
+    def __init__(self, spark: SparkSession, base: str, lock: Callable[[str], AbstractContextManager] | None = None):
+        self.spark, self.base, self.lock = spark, base.rstrip("/"), lock or (lambda path: nullcontext())
 
     def path(self, name: str = "") -> str:
         return f"{self.base}/{name}" if name else self.base
@@ -90,25 +100,49 @@ class ObjectStore:
             stream.close()
 
     def write(self, name: str, data: bytes, overwrite: bool = False) -> None:
-        """The whole object or nothing: the bytes go to a hidden name first, which is then renamed.
+        """The whole object or nothing: the bytes go to a hidden name first, which then becomes the object in one step.
 
-        Without ``overwrite`` an existing object is an error (FileExistsError), which is what lets two writers race for
-        one name safely.
+        Without ``overwrite`` an existing object is an error (FileExistsError), so of two writers that race for a name one
+        wins. On local disks the step is a hard link or a replacing rename, elsewhere Hadoop's rename that refuses, or
+        replaces, an existing name; HDFS does that atomically, other stores need a ``lock``.
         """
         fs, p = self._at(name)
         parent = p.getParent()
         fs.mkdirs(parent)
-        hidden = self.spark._jvm.org.apache.hadoop.fs.Path(parent, f".{p.getName()}.{self.spark._jvm.java.util.UUID.randomUUID()}")
+        hidden = self.spark._jvm.org.apache.hadoop.fs.Path(parent, f".{p.getName()}.{uuid.uuid4().hex}")
         stream = fs.create(hidden, True)
         try:
             stream.write(bytearray(data))
         finally:
             stream.close()
-        if overwrite and fs.exists(p):
-            fs.delete(p, False)
-        if fs.exists(p) or not fs.rename(hidden, p):
+        try:
+            with self.lock(self.path(name)):
+                if fs.getUri().getScheme() == "file":
+                    source, target = (x.toUri().getPath() for x in (hidden, p))
+                    os.replace(source, target) if overwrite else os.link(source, target)
+                else:
+                    self._rename(fs, hidden, p, overwrite)
+        except FileExistsError:
+            raise FileExistsError(self.path(name)) from None
+        finally:
             fs.delete(hidden, False)
-            raise FileExistsError(self.path(name))
+
+    def _rename(self, fs, source, target, overwrite: bool) -> None:
+        jvm = self.spark._jvm
+        kind = jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark.sparkContext._gateway.new_array(kind, 1)
+        options[0] = kind.valueOf("OVERWRITE" if overwrite else "NONE")
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration()).rename(source, target, options)
+        except Exception as e:
+            if "FileAlreadyExists" in str(e):
+                raise FileExistsError(str(target)) from None
+            raise
+
+    def age(self, name: str) -> float:
+        """Seconds since the object was last written."""
+        fs, p = self._at(name)
+        return self.spark._jvm.java.lang.System.currentTimeMillis() / 1000 - fs.getFileStatus(p).getModificationTime() / 1000
 
     def delete(self, name: str) -> bool:
         """Removes an object or folder; whether there was one."""

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DELETED, SEQ, LEVEL = "_deleted", "_seq", "_level"
-FORMAT_VERSION = 1
+FORMAT_VERSION = 2
 
 
 @dataclass(frozen=True)
@@ -55,6 +56,36 @@ class TableSpec:
             out.append(c.alias(f.name))
         return df.select(*out, *more)
 
+    def comparable(self, key: Column) -> list[Column]:
+        """The values of a key (a struct) as JSON can hold them, in an order that the driver can compare like Spark does."""
+        out = []
+        for name in self.keys:
+            kind, c = self.schema[name].dataType, key[name]
+            if isinstance(kind, T.TimestampType):
+                c = F.unix_micros(c)
+            elif isinstance(kind, T.BinaryType):
+                c = F.hex(c)
+            elif isinstance(kind, (T.FloatType, T.DoubleType)):
+                c = F.when(F.isnan(c), F.lit(float("inf"))).otherwise(c).cast("double")
+            elif isinstance(kind, T.BooleanType):
+                c = c.cast("int")
+            elif not isinstance(kind, (T.StringType, T.IntegralType)):
+                c = c.cast("string")
+            out.append(c.alias(name))
+        return out
+
+    def ordered(self, values: tuple) -> tuple:
+        """``comparable`` values as they compare."""
+        return tuple(Decimal(v) if isinstance(self.schema[k].dataType, T.DecimalType) else v for k, v in zip(self.keys, values, strict=True))
+
+    def placed(self, key: tuple) -> tuple | None:
+        """A Python key among ``comparable`` values; None where that takes Spark to say."""
+        for k, v in zip(self.keys, key, strict=False):
+            kind = self.schema[k].dataType
+            if not (isinstance(kind, T.StringType) and isinstance(v, str) or isinstance(kind, T.IntegralType) and type(v) is int):
+                return None
+        return tuple(key) if len(key) == len(self.keys) else None
+
     def to_json(self) -> dict:
         return {"name": self.name, "schema": json.loads(self.schema.json()), "keys": list(self.keys), "bloom": self.bloom, "options": self.options}
 

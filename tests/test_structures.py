@@ -162,3 +162,42 @@ def test_cache_loads_once():
     with pytest.raises(RuntimeError):
         c.read("bad", lambda: (_ for _ in ()).throw(RuntimeError()))
     assert c.read("bad", lambda: ("ok", 1)) == "ok"
+
+
+def test_ties_fill_many_chunks(spark):
+    from ledgerline.operators.order import chunked
+
+    df = spark.createDataFrame([(7, i) for i in range(2000)] + [(i, i) for i in range(20)], "k long, i long").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in chunked(df, ["k"]).groupBy("_chunk").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 1 and max(sizes) < 1200
+    got = sorted((r.rank, r.k) for r in ranked(df, ["k"]).collect())
+    assert [n for n, _ in got] == list(range(1, 2021)) and [k for _, k in got] == sorted(k for _, k in got)
+    near = neighbours(df, ["k"], "i").collect()
+    assert sum(r.prev is None for r in near) == 1 and sum(r.next is None for r in near) == 1
+    assert {r.prev for r in near} | {None} == {r.prev for r in near} and len({(r.k, r.i, r.prev) for r in near}) == 2020
+
+
+def test_removal_from_a_key_with_most_rows(spark):
+    t = Ordered(spark.createDataFrame([(1, str(i % 5)) for i in range(1000)] + [(2, "x"), (None, "n")], "k long, v string").repartition(4), ("k",))
+    left = t.remove(spark.createDataFrame([(1,)] * 990 + [(3,), (2,), (2,)], "k long"))
+    assert {r.k: r["count"] for r in left.df.groupBy("k").count().collect()} == {1: 10, None: 1}
+    left = t.remove_items(spark.createDataFrame([(1, "3")] * 3 + [(1, "no"), (None, "n")], "k long, v string"))
+    assert left.df.where("v = '3'").count() == 197 and left.count() == 1002 - 4
+    rest, at = ints(spark, [1, 2, 2, 5]).remove_at(ints(spark, [2]).first())
+    assert [r.k for r in rest.items()] == [1, 2, 5] and at.k == 2
+    rest, at = rest.remove_at(rest.last())
+    assert [r.k for r in rest.items()] == [1, 2] and at is None
+
+
+def test_codec_primitives(spark):
+    out = spark.createDataFrame([(True, bytearray(b"abcdef"))], "b boolean, d binary")
+    got = out.select(codec.boolean(F.col("b")).alias("b"), codec.from_boolean(codec.boolean(~F.col("b"))).alias("n"), codec.from_boolean(F.unhex(F.lit("02"))).alias("bad"), codec.section(F.col("d"), 2, 3).alias("s"), codec.section(F.col("d"), 4, 3).alias("torn")).first()
+    assert bytes(got.b) == b"\x01" and got.n is False and got.bad is None and bytes(got.s) == b"cde" and got.torn is None
+    with pytest.raises(Exception, match="bad varint"):
+        spark.range(1).select(codec.strictly(codec.from_varint(F.unhex(F.lit("80"))), F.unhex(F.lit("80")), "varint")).collect()
+    with pytest.raises(Exception, match="bad uint32"):
+        spark.range(1).select(codec.strictly(codec.checked_uint32(F.lit(1 << 32)), F.lit(1), "uint32")).collect()

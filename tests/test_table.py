@@ -6,11 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.operators.compaction import Policy, plan
+from ledgerline.operators.compaction import Policy, apart, plan
 from ledgerline.sources.cursor import LiveCursor, keyset_page
-from ledgerline.sources.manifest import Manifest, Run, commit
+from ledgerline.sources.manifest import Manifest, Part, Run, commit
 from ledgerline.sources.store import ObjectNotFound, ObjectStore
-from ledgerline.sources.table import LedgerTable
+from ledgerline.sources.table import LedgerTable, frame_cache
 from ledgerline.spec import TableSpec
 from ledgerline.streaming.ingest import ingest
 
@@ -116,7 +116,7 @@ def test_small_runs_move_up(spark, table):
 
 
 def test_plans():
-    run = Run("r", 1, 0, 100, 1)
+    run = Run("r", (Part("r/p", 1, 0, 100, ("a",), ("b",)),), 1)
     one = Manifest(SPEC).with_level(0, (run,))
     assert plan(one, 0, 1, MANUAL).move
     assert plan(one, 1, 2, MANUAL) is None
@@ -204,8 +204,191 @@ def test_object_store(spark, tmp_path):
 
 
 def test_manifest_round_trip_and_format(spark, tmp_path):
-    m = Manifest(SPEC, notes={"x": 1}).with_level(2, (Run("r", 1, 0, 5, 1),))
+    m = Manifest(SPEC, notes={"x": 1}).with_level(2, (Run("r", (Part("r/p", 1, 0, 5, ("a", 1), ("b", 2)),), 1),))
     assert Manifest.from_bytes(m.to_bytes()) == m
     with pytest.raises(ValueError):
-        Manifest.from_bytes(m.to_bytes().replace(b'"format_version": 1', b'"format_version": 99'))
+        Manifest.from_bytes(m.to_bytes().replace(b'"format_version": 2', b'"format_version": 99'))
     assert commit(ObjectStore(spark, str(tmp_path)), m).version == 1
+
+
+def test_only_overlapping_files_are_merged(spark, table):
+    part = lambda name, low, high, deleted=0: Part(name, 5, deleted, 100, (low,), (high,))
+    files = [part("1", "a", "c"), part("2", "c", "d"), part("3", "e", "f"), part("4", "g", "h"), part("5", "h", "k"), part("6", "j", "l"), part("7", "m", "n", 2)]
+    names = lambda x: [p.path for p in x]
+    stay, groups = apart(SPEC, files, False)
+    assert names(stay) == ["3", "7"] and [names(g) for g in groups] == [["1", "2"], ["4", "5", "6"]]
+    stay, groups = apart(SPEC, files, True)
+    assert names(stay) == ["3"] and [names(g) for g in groups] == [["1", "2"], ["4", "5", "6", "7"]]
+    for n in range(4):
+        table.upsert(rows(spark, [(f"{i:04d}", i) for i in range(250 * n, 250 * n + 250)]))
+    written = set(table.run_paths())
+    table.compact(0, 1)
+    before = table.manifest.level(1)[0].parts
+    assert len(before) == 4 and set(table.run_paths()) == written
+    low, high = before[1].low[0], before[1].high[0]
+    table.upsert(rows(spark, [(low, -1), (high, -2)]))
+    table.upsert(rows(spark, [("9999", -3)]))
+    table.upsert(rows(spark, [("5000", -4)]))
+    table.delete(spark.createDataFrame([("5000",)], "k string"))
+    table.delete(spark.createDataFrame([("0000",)], "k string"))
+    table.compact(0, 1)
+    after = table.manifest.level(1)[0]
+    assert {before[2].path, before[3].path} <= {p.path for p in after.parts}
+    assert not {before[0].path, before[1].path} & {p.path for p in after.parts}
+    want = {f"{i:04d}": i for i in range(1, 1000)} | {low: -1, high: -2, "9999": -3}
+    want.pop("0000", None)
+    assert contents(table) == want and table.verify().isEmpty()
+    table.vacuum()
+    assert contents(LedgerTable.open(spark, table.store.base)) == want
+    assert table.search(low).v == -1 and table.search("0000") is None and table.search("9999").v == -3
+
+
+def test_zones_keep_files_apart(spark, tmp_path):
+    table = LedgerTable.create(spark, str(tmp_path / "z"), SPEC, MANUAL)
+    for lo in ("a", "m", "x"):
+        table.upsert(rows(spark, [(f"{lo}{i}", i) for i in range(5)]).coalesce(1))
+    table.upsert(rows(spark, [("a1", 100)]))
+    table.upsert(rows(spark, [("x1", 100)]))
+    middle = {p.path for r in table.manifest.level(0) for p in r.parts if p.low[0].startswith("m")}
+    table.compact(0, 1)
+    run = table.manifest.level(1)[0]
+    assert middle <= {p.path for p in run.parts} and table.verify().isEmpty()
+    assert contents(table) == {f"{lo}{i}": i for lo in "amx" for i in range(5)} | {"a1": 100, "x1": 100}
+    table.vacuum()
+    assert table.count_live() == 15 and LedgerTable.open(spark, table.store.base).search("m3").v == 3
+
+
+def test_keys_of_many_types_have_ranges(spark, tmp_path):
+    import datetime
+    import decimal
+
+    schema = T.StructType([T.StructField("d", T.DecimalType(10, 2)), T.StructField("t", T.TimestampType()), T.StructField("f", T.DoubleType()), T.StructField("b", T.BinaryType()), T.StructField("day", T.DateType()), T.StructField("v", T.LongType())])
+    table = LedgerTable.create(spark, str(tmp_path / "typed"), TableSpec("typed", schema, ("d", "t", "f", "b", "day")), MANUAL)
+    moment = datetime.datetime(2024, 1, 2, 3, 4, 5)
+    made = [(decimal.Decimal(n), moment, x, b"\x00\xff", datetime.date(2024, 1, 2), i) for i, (n, x) in enumerate([(9, 1.0), (10, float("nan")), (-3, 0.5), (100, -1.0)])]
+    table.upsert(spark.createDataFrame(made, schema))
+    table.upsert(spark.createDataFrame(made[:2], schema))
+    table.compact(0, 1)
+    assert table.count_live() == 4 and table.verify().isEmpty()
+    assert LedgerTable.open(spark, table.store.base).search(made[0][:5]).v == 0
+
+
+def test_small_writes_are_merged_automatically(spark, tmp_path):
+    table = LedgerTable.create(spark, str(tmp_path / "small"), SPEC, Policy(most_batches=2))
+    for i in range(7):
+        table.upsert(rows(spark, [(str(i), i)]))
+        assert len(table.manifest.level(0)) <= 2
+    assert contents(table) == {str(i): i for i in range(7)}
+
+
+def test_vacuum_spares_what_a_writer_has_not_committed(spark, table, monkeypatch):
+    from ledgerline.sources import table as module
+
+    table.upsert(rows(spark, [("a", 1)]))
+    other = LedgerTable.open(spark, table.store.base, policy=MANUAL)
+    real, gone = module.commit, []
+
+    def late(store, manifest):
+        gone.extend(other.vacuum())
+        return real(store, manifest)
+
+    monkeypatch.setattr(module, "commit", late)
+    table.upsert(rows(spark, [("b", 2)]))
+    monkeypatch.setattr(module, "commit", real)
+    assert not gone and contents(table) == {"a": 1, "b": 2}
+    table.store.write("_intents/dead", b"")
+    table.store.write("runs/dead/x.parquet", b"x")
+    assert table.vacuum() == [] and table.vacuum(dead_after=-1) == ["dead"] and contents(table.refresh()) == {"a": 1, "b": 2}
+
+
+def test_writers_at_once(spark, table):
+    """Many threads write the same version: one wins each time, the others try again, and nothing is lost."""
+    import threading
+
+    won = []
+
+    def work(n):
+        store = ObjectStore(spark, table.store.base)
+        for i in range(10):
+            try:
+                store.write(f"race/{i}", str(n).encode())
+                won.append((i, n))
+            except FileExistsError:
+                pass
+
+    threads = [threading.Thread(target=work, args=(n,)) for n in range(6)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(i for i, _ in won) == list(range(10))
+    assert all(table.store.read(f"race/{i}") == str(n).encode() for i, n in won)
+    assert [name for name, _ in table.store.list("race")] == sorted(map(str, range(10)))
+
+    def writer(n):
+        own = LedgerTable.open(spark, table.store.base, policy=MANUAL)
+        while True:
+            try:
+                own.refresh().upsert(rows(spark, [(f"w{n}", n)]))
+                return
+            except FileExistsError:
+                continue
+
+    threads = [threading.Thread(target=writer, args=(n,)) for n in range(3)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert contents(table.refresh()) == {f"w{n}": n for n in range(3)}
+    assert table.vacuum() == [] and table.store.list("_intents") == []
+
+
+def test_other_file_systems_rename_exclusively(spark, tmp_path):
+    """A store that is not a local disk goes through Hadoop's rename."""
+    (tmp_path / "v").mkdir()
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.tests.link./at", f"file://{tmp_path}/v")
+    store = ObjectStore(spark, "viewfs://tests/at")
+    store.write("d/a", b"1")
+    with pytest.raises(FileExistsError):
+        store.write("d/a", b"2")
+    store.write("d/a", b"3", overwrite=True)
+    assert store.read("d/a") == b"3" and store.list("d") == [("a", 1)]
+    entered = []
+
+    class Lock:
+        def __init__(self, path):
+            self.path = path
+
+        def __enter__(self):
+            entered.append(self.path)
+
+        def __exit__(self, *e):
+            return False
+
+    ObjectStore(spark, str(tmp_path), Lock).write("x", b"")
+    assert entered == [f"{tmp_path}/x"]
+
+
+def test_failed_writes_stick_and_closed_tables_refuse(spark, table):
+    table.upsert(rows(spark, [("a", 1)]))
+    with pytest.raises(Exception, match="null in key"):
+        table.upsert(rows(spark, [(None, 1)]))
+    with pytest.raises(RuntimeError, match="earlier write failed"):
+        table.upsert(rows(spark, [("b", 1)]))
+    with pytest.raises(Exception, match="null in key"):
+        table.close()
+    again = LedgerTable.open(spark, table.store.base, policy=MANUAL)
+    again.close()
+    with pytest.raises(ValueError):
+        again.upsert(rows(spark, [("b", 1)]))
+    assert contents(again) == {"a": 1} and table.store.list("_intents") == []
+
+
+def test_scans_through_a_cache(spark, table):
+    table.upsert(rows(spark, [("a", 1)]))
+    cached = LedgerTable.open(spark, table.store.base, policy=MANUAL, cache=frame_cache(1 << 20))
+    assert contents(cached) == contents(cached) == {"a": 1} and cached.cache.hit_ratio == 0.5
+    cached.upsert(rows(spark, [("b", 2)]))
+    assert contents(cached) == {"a": 1, "b": 2} and cached.cache.reads == 3
+    cached.cache.capacity = 0
+    assert len(cached.cache) == 0
