@@ -1,11 +1,12 @@
-"""Exact BM25 top-k search with block-max bounds, run per shard and merged exactly.
+"""Exact BM25 top-k search by block-max WAND, run per shard and merged exactly.
 
 A shard is a run of documents of an input split: an inverted index in numpy arrays, its documents ordered so that like
-ones stand together and cut into blocks. For a query, the exact sums of its rare terms and the block maxima of its
-frequent ones bound what any document of a block can score. Blocks are scored in order of their bounds, each for the
-queries whose k-th best score so far its bound reaches, which is a product of small dense matrices. Document counts,
-lengths and frequencies are those of the whole corpus, so scores of different shards compare, and the merge of the
-shards' top k is the exact top k. Queries come in blocks of bounded size, each against all shards.
+ones stand together and cut into blocks. Every term has its largest weight by block; their sum bounds what a document of
+the block can score, and blocks whose bound is under a query's threshold are not opened. Thresholds start from what a
+few shards that are searched first have found, and rise with the k-th best score. Blocks are opened for many queries
+together, so their work is array sums and products. Document counts, lengths and frequencies are those of the whole
+corpus, so scores of different shards compare, and the merge of the shards' top k is the exact top k. Queries come in
+blocks of bounded size, each against all shards.
 """
 
 from __future__ import annotations
@@ -28,8 +29,12 @@ K1, B = 1.2, 0.75
 BLOCK = 32
 #: Scores are compared after rounding to so many digits; bounds give way by more than that.
 DIGITS, SLACK = 6, 2e-6
-#: So many queries are scored together in a shard; their sums are one array of this by the shard's documents.
+#: So many queries are scored together in a shard.
 QUERIES_AT_ONCE = 128
+#: Blocks that a query opens in each round, those with the best bounds; 0 means all that its threshold leaves.
+ROUNDS = (4, 24, 0)
+#: One in so many shards is searched first.
+SCOUTS = 8
 
 
 class TermIds(dict):
@@ -90,8 +95,9 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text", most_docs: i
 class Shard:
     """One shard's arrays, with each posting's weight under the corpus's mean length.
 
-    Terms that a sixteenth of the documents have are dense rows, with their maxima by block; the postings of the others
-    stay sparse.
+    Documents stand in blocks of ``BLOCK``. Every term has a block maximum for each block that has it, and where its
+    postings of that block are. Terms that a sixteenth of the documents have are dense rows besides, for products.
+    ``scored`` and ``passed`` count the postings that were added up and those of the queries' terms.
     """
 
     def __init__(self, row: dict, mean_length: float):
@@ -100,62 +106,85 @@ class Shard:
         lengths, counts = as_("lengths", np.int64), as_("counts", np.int32)
         self.weights = counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[self.posts] / mean_length))
         self.n_blocks = -(-len(self.keys) // BLOCK)
-        sizes = np.diff(self.pointers)
-        often = np.flatnonzero(sizes * 16 >= len(self.keys))
+        block = self.posts // BLOCK
+        new = np.ones(len(block), dtype=bool)
+        new[1:] = block[1:] != block[:-1]
+        new[self.pointers[:-1]] = True
+        first = np.flatnonzero(new)
+        self.block_posts, self.block_of = np.append(first, len(block)), block[first]
+        self.block_max = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
+        self.block_pointers = np.searchsorted(first, self.pointers)
+        often = np.flatnonzero(np.diff(self.pointers) * 16 >= len(self.keys))
         self.dense = np.zeros((len(often), self.n_blocks * BLOCK))
+        self.maxima = np.zeros((len(often), self.n_blocks))
         for i, t in enumerate(often):
-            p = slice(self.pointers[t], self.pointers[t + 1])
+            p, q = slice(self.pointers[t], self.pointers[t + 1]), slice(self.block_pointers[t], self.block_pointers[t + 1])
             self.dense[i, self.posts[p]] = self.weights[p]
-        self.maxima = self.dense.reshape(len(often), self.n_blocks, BLOCK).max(axis=2)
+            self.maxima[i, self.block_of[q]] = self.block_max[q]
         self.row_of = np.full(len(self.terms), -1)
         self.row_of[often] = np.arange(len(often))
+        self.scored = self.passed = 0
 
-    def top(self, starts: np.ndarray, at: np.ndarray, idf: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(keys, rounded scores) of each query's k best documents, equal scores by key; query i has ``at[starts[i]:starts[i + 1]]`` of ``terms``.
+    def top(self, starts: np.ndarray, at: np.ndarray, idf: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, key, rounded score) of each query's k best documents, equal scores by key; query i has ``at[starts[i]:starts[i + 1]]`` of ``terms``.
 
-        Rare terms are added up first, exactly. A block's bound is the best of these sums in it plus the block maxima of
-        the frequent terms. The documents that rare terms favour give each query a first threshold; then each block is
-        scored for the queries whose threshold its bound reaches, the blocks with the best bounds first.
+        Block-max WAND, a block for all queries at a time. A block's bound for a query is the sum of its terms' block
+        maxima. Blocks whose bound is under the query's threshold are never opened: their postings are passed over. The
+        threshold is ``floor`` (what other shards' k-th best are known to reach), and then the k-th best score so far.
+        The blocks with the best bounds are opened first, and each round leaves fewer for the next.
         """
-        n, width = len(starts) - 1, self.n_blocks * BLOCK
+        n = len(starts) - 1
         owner = np.repeat(np.arange(n), np.diff(starts))
         row = self.row_of[at]
         frequent = np.zeros((n, len(self.dense)))
         frequent[owner[row >= 0], row[row >= 0]] = idf[row >= 0]
-        rare = row < 0
-        first = self.pointers[at[rare]]
-        sizes = self.pointers[at[rare] + 1] - first
-        p = _ranges(first, sizes)
-        place = np.repeat(owner[rare] * width, sizes) + self.posts[p]
-        sums = np.bincount(place, weights=np.repeat(idf[rare], sizes) * self.weights[p], minlength=n * width).reshape(n, width)
-        bounds = sums.reshape(n, self.n_blocks, BLOCK).max(axis=2) + frequent @ self.maxima
-
-        best_scores, best_docs = np.zeros((n, k)), np.full((n, k), -1)
-        if width > k:
-            tried = np.argpartition(-sums, k, axis=1)[:, :k]
-            for q in range(n):
-                got = sums[q, tried[q]] + frequent[q] @ self.dense[:, tried[q]]
-                best_scores[q] = np.sort(np.round(got, DIGITS))[::-1]
-        threshold = best_scores[:, -1].copy()
-        best_scores[:] = 0
-        for block in np.argsort(-bounds.max(axis=0), kind="stable"):
-            asked = np.flatnonzero((bounds[:, block] >= threshold - SLACK) & (bounds[:, block] > 0))
-            if not len(asked):
+        rare = at[row < 0]
+        sizes = self.block_pointers[rare + 1] - self.block_pointers[rare]
+        cell = _ranges(self.block_pointers[rare], sizes)  # the rare terms' blocks
+        who, gain = np.repeat(owner[row < 0], sizes), np.repeat(idf[row < 0], sizes)
+        pair = who * self.n_blocks + self.block_of[cell]
+        bounds = np.bincount(pair, weights=gain * self.block_max[cell], minlength=n * self.n_blocks).reshape(n, self.n_blocks).astype(np.float64) + frequent @ self.maxima
+        self.passed += int((self.pointers[at + 1] - self.pointers[at]).sum())
+
+        threshold = np.zeros(n) if floor is None else floor.copy()
+        queries, docs, scores = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+        closed = bounds > 0
+        for width in ROUNDS:
+            opened = closed & (bounds >= threshold[:, None] - SLACK)
+            if 0 < width < self.n_blocks:
+                ranked = np.where(opened, bounds, -1.0)
+                opened &= bounds >= -np.partition(-ranked, width - 1, axis=1)[:, width - 1 : width]
+            if not opened.any():
                 continue
-            docs = np.arange(block * BLOCK, min((block + 1) * BLOCK, len(self.keys)))
-            got = np.round(sums[np.ix_(asked, docs)] + frequent[asked] @ self.dense[:, docs], DIGITS)
-            better = got.max(axis=1) >= np.maximum(threshold[asked], 1e-6)
-            asked, got = asked[better], got[better]
-            if not len(asked):
-                continue
-            scores = np.concatenate([best_scores[asked], got], axis=1)
-            owners = np.concatenate([best_docs[asked], np.broadcast_to(docs, got.shape)], axis=1)
-            keys = np.where(owners >= 0, self.keys[owners], np.iinfo(np.int64).max)
-            order = np.lexsort((keys, -scores), axis=1)[:, :k]
-            best_scores[asked], best_docs[asked] = np.take_along_axis(scores, order, 1), np.take_along_axis(owners, order, 1)
-            threshold[asked] = np.maximum(threshold[asked], best_scores[asked, -1])
-        found = (best_docs >= 0) & (best_scores > 0)
-        return [(self.keys[best_docs[q][found[q]]], best_scores[q][found[q]]) for q in range(n)]
+            closed &= ~opened
+            block, query = np.nonzero(opened.T)
+            got = self._scores(opened, block, query, frequent, pair, cell, gain)
+            i, j = np.nonzero(got >= np.maximum(threshold[query], 1e-6)[:, None])
+            queries, docs, scores = np.concatenate([queries, query[i]]), np.concatenate([docs, block[i] * BLOCK + j]), np.concatenate([scores, got[i, j]])
+            order = np.lexsort((self.keys[docs], -scores, queries))
+            place = np.arange(len(order)) - np.searchsorted(queries[order], queries[order])
+            queries, docs, scores = (x[order[place < k]] for x in (queries, docs, scores))
+            last = place[place < k] == k - 1
+            threshold[queries[last]] = np.maximum(threshold[queries[last]], scores[last])
+        return queries, self.keys[docs], scores
+
+    def _scores(self, opened: np.ndarray, block: np.ndarray, query: np.ndarray, frequent: np.ndarray, pair: np.ndarray, cell: np.ndarray, gain: np.ndarray) -> np.ndarray:
+        """Rounded scores of the documents of each opened block for its query; pairs come by block."""
+        number = np.full(opened.size, -1)
+        number[query * self.n_blocks + block] = np.arange(len(block))
+        mine = number[pair]
+        there = np.flatnonzero(mine >= 0)
+        sizes = self.block_posts[cell[there] + 1] - self.block_posts[cell[there]]
+        p = _ranges(self.block_posts[cell[there]], sizes)
+        place = np.repeat(mine[there], sizes) * BLOCK + self.posts[p] % BLOCK
+        sums = np.bincount(place, weights=np.repeat(gain[there], sizes) * self.weights[p], minlength=len(block) * BLOCK).reshape(len(block), BLOCK).astype(np.float64)
+        self.scored += len(p)
+        blocks, first = np.unique(block, return_index=True)
+        for b, x, y in zip(blocks.tolist(), first.tolist(), [*first[1:].tolist(), len(block)], strict=True):
+            columns = self.dense[:, b * BLOCK : (b + 1) * BLOCK]
+            sums[x:y] += frequent[query[x:y]] @ columns
+            self.scored += (y - x) * int((self.maxima[:, b] > 0).sum())
+        return np.round(sums, DIGITS)
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -178,19 +207,19 @@ def query_terms(queries: DataFrame, key: str = "doc_id", text: str = "text") ->
     return queries.select(F.col(key).cast("long").alias("query_id"), text).mapInArrow(run, "query_id long, term long")
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text", block_terms: int = 500_000) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text", block_terms: int = 2_000_000) -> DataFrame:
     """query_id, rank (from 1), doc_id and score: each query's k best documents by BM25 over its distinct words.
 
     Equal scores go by key. Documents without a word of the query are never returned, so a query without words has no
     rows; neither has one with a null key. Rows that repeat a query's key are one query of all their words; repeated
     documents are documents. Queries are dealt into blocks of about ``block_terms`` terms by a hash of their key; a
-    block is what is broadcast at once. Shards and query weights are written to the shared folder, so a lost executor
-    costs only the shards that it was searching.
+    block is what is broadcast at once. One shard in ``SCOUTS`` is searched first: the k-th best score that a query has
+    there is the threshold that it starts with in all others. Shards and query weights are written to the shared folder,
+    so a lost executor costs only the shards that it was searching. Words are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
     shards = checkpoint(index(docs, key, text))
     n, words = shards.agg(F.sum("n"), F.sum("words")).first()
-    schema = T.StructType.fromDDL("query_id long, doc_id long, score double")
     if not words:
         return spark.createDataFrame([], T.StructType.fromDDL("query_id long, rank int, doc_id long, score double"))
 
@@ -207,41 +236,62 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id"
     weight = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = checkpoint(asked.join(df, "term").select("query_id", "term", weight.alias("idf")))
     blocks = max(1, math.ceil(weighted.count() / block_terms))
-    mean = words / n
+    scout = F.pmod(F.xxhash64("docs"), F.lit(SCOUTS)) == 0
     found = []
     for block in range(blocks):
         mine = weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
+        if not len(mine):
+            continue
         ids, terms, idfs = (mine.column(c).to_numpy() for c in ("query_id", "term", "idf"))
         order = np.lexsort((terms, ids))
         names, starts = np.unique(ids[order], return_index=True)
-        shared = spark.sparkContext.broadcast((names, np.append(starts, len(ids)), terms[order], idfs[order]))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, starts, terms, idf = shared.value
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    shard = Shard({c: batch.column(j)[i].as_buffer() for j, c in enumerate(batch.schema.names)}, mean)
-                    if not len(shard.terms):
-                        continue
-                    out = []
-                    for q in range(0, len(names), QUERIES_AT_ONCE):
-                        a, b = starts[q], starts[min(q + QUERIES_AT_ONCE, len(names))]
-                        at = np.minimum(np.searchsorted(shard.terms, terms[a:b]), len(shard.terms) - 1)
-                        there = shard.terms[at] == terms[a:b]
-                        own = np.concatenate([[0], np.cumsum(there)])[starts[q : q + QUERIES_AT_ONCE + 1] - a]
-                        out += shard.top(own, at[there], idf[a:b][there], k)
-                    if out:
-                        sizes = [len(keys) for keys, _ in out]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, sizes)), pa.array(np.concatenate([keys for keys, _ in out])), pa.array(np.concatenate([scores for _, scores in out]))], names=schema.names)
-
-        hits = shards.select("docs", "lengths", "terms", "pointers", "posts", "counts").mapInArrow(run, schema)
+        held = (names, np.append(starts, len(ids)), terms[order], idfs[order])
+        first = _searched(shards.where(scout), held, np.zeros(len(names)), words / n, k)
+        reached = first.where(F.col("rank") == k).select("query_id", "score").toArrow()  # a row for each query of the block at most
+        floor = np.zeros(len(names))
+        floor[np.searchsorted(names, reached.column("query_id").to_numpy())] = reached.column("score").to_numpy()
+        rest = _searched(shards.where(~scout), held, floor, words / n, k)
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-        found.append(checkpoint(hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)))
-        shared.unpersist()
+        both = first.drop("rank").unionByName(rest.drop("rank"))
+        found.append(checkpoint(both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)))
+    if not found:
+        return spark.createDataFrame([], T.StructType.fromDDL("query_id long, rank int, doc_id long, score double"))
     doc = F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id"))
     return reduce(DataFrame.unionByName, found).select("query_id", "rank", doc.alias("doc_id"), "score")
 
 
+def _searched(shards: DataFrame, held: tuple[np.ndarray, ...], floor: np.ndarray, mean: float, k: int) -> DataFrame:
+    """query_id, doc_id, score and rank of the k best of ``shards`` for each query of ``held`` (names, starts, terms, weights), but none under ``floor``."""
+    shared = shards.sparkSession.sparkContext.broadcast((*held, floor))
+    schema = T.StructType.fromDDL("query_id long, doc_id long, score double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, starts, terms, idf, floor = shared.value
+        floor = floor.copy()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shard = Shard({c: batch.column(j)[i].as_buffer() for j, c in enumerate(batch.schema.names)}, mean)
+                if not len(shard.terms):
+                    continue
+                out = []
+                for q in range(0, len(names), QUERIES_AT_ONCE):
+                    upto = min(q + QUERIES_AT_ONCE, len(names))
+                    a, b = starts[q], starts[upto]
+                    at = np.minimum(np.searchsorted(shard.terms, terms[a:b]), len(shard.terms) - 1)
+                    there = shard.terms[at] == terms[a:b]
+                    own = np.concatenate([[0], np.cumsum(there)])[starts[q : upto + 1] - a]
+                    query, keys, scores = shard.top(own, at[there], idf[a:b][there], k, floor[q:upto])
+                    out.append((query + q, keys, scores))
+                    worst = np.flatnonzero(np.bincount(query, minlength=upto - q) >= k)
+                    floor[q + worst] = np.maximum(floor[q + worst], scores[np.searchsorted(query, worst, "right") - 1])
+                query, keys, scores = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(names[query]), pa.array(keys), pa.array(scores)], names=schema.names)
+
+    hits = shards.select("docs", "lengths", "terms", "pointers", "posts", "counts").mapInArrow(run, schema)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return checkpoint(hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
+
+
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents for each document whose doc_id is divisible by 50, taken whole as a query."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

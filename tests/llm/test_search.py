@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from ledgerline.llm import search
 
@@ -50,18 +51,12 @@ def test_small_shards_and_blocks_give_the_same(spark, monkeypatch):
     assert shards.agg({"n": "sum"}).first()[0] == 150 and shards.where("n > 9").isEmpty()
 
 
-def test_bounds_skip_blocks_but_never_a_result():
-    rng = np.random.default_rng(5)
-    rare = [f"r{i}" for i in range(40)]
-    texts = [" ".join([*rng.choice(rare, 3), *(["common"] * int(rng.integers(1, 5)))]) for _ in range(2000)]
-    ids = search.TermIds()
-    words = [search.terms_of(t, ids) for t in texts]
+def _shard(texts):
+    words = [search.terms_of(t, search.TermIds()) for t in texts]
     rows = {}
 
     class Sink:
         def mapInArrow(self, f, schema):
-            import pyarrow as pa
-
             batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["k", "t"])
             (out,) = list(f(iter([batch])))
             rows.update({n: out.column(i)[0].as_py() for i, n in enumerate(out.schema.names)})
@@ -70,16 +65,50 @@ def test_bounds_skip_blocks_but_never_a_result():
             return self
 
     search.index(Sink())
-    shard = search.Shard(rows, sum(map(len, words)) / len(words))
+    return search.Shard(rows, sum(map(len, words)) / len(words))
+
+
+def test_bounds_skip_blocks_but_never_a_result():
+    rng = np.random.default_rng(5)
+    rare = [f"r{i}" for i in range(40)]
+    texts = [" ".join([*rng.choice(rare, 3), *(["common"] * int(rng.integers(1, 5)))]) for _ in range(2000)]
+    shard, ids = _shard(texts), search.TermIds()
     terms = np.unique(search.terms_of("r1 r2 common", ids))
     at, idf = np.searchsorted(shard.terms, terms), np.array([0.3, 2.0, 2.5])
     all_scores = np.zeros(len(texts))
     for a, w in zip(at, idf, strict=True):
         p = slice(shard.pointers[a], shard.pointers[a + 1])
         all_scores[shard.posts[p]] += w * shard.weights[p]
-    (keys, scores), (none, _) = shard.top(np.array([0, len(at), len(at)]), at, idf, 5)
+    query, keys, scores = shard.top(np.array([0, len(at), len(at)]), at, idf, 5)
     order = np.lexsort((shard.keys, -np.round(all_scores, 6)))[:5]
-    assert keys.tolist() == shard.keys[order].tolist() and np.allclose(scores, all_scores[order], atol=1e-6) and not len(none)
+    assert keys.tolist() == shard.keys[order].tolist() and np.allclose(scores, all_scores[order], atol=1e-6) and set(query.tolist()) == {0}
+    assert 0 < shard.scored < shard.passed
+    before, high = shard.scored, np.array([scores[-1], 0.0])
+    again = shard.top(np.array([0, len(at), len(at)]), at, idf, 5, high)
+    assert again[1].tolist() == keys.tolist() and shard.scored - before <= before
+    assert shard.top(np.array([0, len(at)]), at, idf, 5, np.array([99.0]))[1].tolist() == []
+
+
+def test_random_shards_equal_all_scores(monkeypatch):
+    rng = np.random.default_rng(8)
+    for size, rounds in ((5, (4, 24, 0)), (70, (1, 2, 0)), (900, (2, 0)), (900, (0,))):
+        monkeypatch.setattr(search, "ROUNDS", rounds)
+        vocabulary = [f"w{i}" for i in range(60)]
+        texts = [" ".join(rng.choice(vocabulary, int(rng.integers(1, 12)), p=np.arange(60, 0, -1) / 1830)) for _ in range(size)]
+        shard = _shard(texts)
+        for _ in range(6):
+            picks = [np.sort(rng.choice(len(shard.terms), min(len(shard.terms), int(rng.integers(0, 9))), replace=False)) for _ in range(4)]
+            at, starts = np.concatenate(picks).astype(np.int64), np.cumsum([0, *map(len, picks)])
+            idf = np.round(rng.random(len(at)) * 3, 2)
+            query, keys, scores = shard.top(starts, at, idf, 4)
+            for q in range(4):
+                total = np.zeros(size)
+                for a, w in zip(at[starts[q] : starts[q + 1]], idf[starts[q] : starts[q + 1]], strict=True):
+                    p = slice(shard.pointers[a], shard.pointers[a + 1])
+                    total[shard.posts[p]] += w * shard.weights[p]
+                total = np.round(total, 6)
+                order = [i for i in np.lexsort((shard.keys, -total))[:4] if total[i] > 0]
+                assert keys[query == q].tolist() == shard.keys[order].tolist() and np.allclose(scores[query == q], total[order], atol=2e-6)
 
 
 def test_empty(spark):
