@@ -56,10 +56,15 @@ def archive(pages: DataFrame, path: str, file_bytes: int = 32 << 20) -> None:
     long = narrow.where(F.col("bytes") >= LEAST).select(page.alias("__page"), "page_id", F.col("digest").alias("__digest"))
     first = F.coalesce(F.concat(F.lit("="), F.min("page_id").cast("string")), F.lit("null"))
     shared = checkpoint(long.groupBy("__digest").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))  # so that AQE can split a digest that most pages have
+    repeated = not shared.isEmpty()
     shared = long.join(shared, "__digest").select("__page", "__digest", "first").distinct().repartition(parts, "__page", "__digest")
 
     rows = pages.select(page.alias("page"), F.regexp_replace(F.coalesce("url", F.lit("urn:unknown")), "[\\r\\n]", " ").alias("uri"), html.alias("html")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    rows = rows.repartition(parts, "page", "digest").join(shared.hint("shuffle_hash"), (F.col("page") == F.col("__page")) & (F.col("digest") == F.col("__digest")), "left")
+    rows = rows.repartition(parts, "page", "digest")
+    if repeated:
+        rows = rows.join(shared.hint("shuffle_hash"), (F.col("page") == F.col("__page")) & (F.col("digest") == F.col("__digest")), "left")
+    else:  # a join with nothing would be planned anew after the payloads were shuffled, and shuffle them again
+        rows = rows.withColumn("first", F.lit(None).cast("string"))
     rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("page", "digest").orderBy("uri")))
     again = F.col("first").isNotNull() & ((F.col("page") != F.col("first")) | (F.col("copy") > 1))
     rows = rows.withColumn("kind", F.when(again, F.lit("revisit")).otherwise(F.lit("response")))
