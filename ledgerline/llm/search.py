@@ -17,6 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,27 +31,25 @@ BLOCK = 32
 #: Scores are compared after rounding to so many digits; bounds give way by more than that.
 DIGITS, SLACK = 6, 2e-6
 #: So many queries are scored together in a shard.
-QUERIES_AT_ONCE = 128
+QUERIES_AT_ONCE = 256
 #: Blocks that a query opens in each round, those with the best bounds; 0 means all that its threshold leaves.
-ROUNDS = (4, 24, 0)
+ROUNDS = (8, 0)
 #: One in so many shards is searched first.
 SCOUTS = 8
 
 
-class TermIds(dict):
-    """Term to the XXH64 of its bytes, as a signed long."""
-
-    def __missing__(self, term: bytes) -> int:
-        value = xxhash.xxh64_intdigest(term)
-        value -= (value >> 63) << 64
-        if len(self) < 400_000 and len(term) <= 64:
-            self[term] = value
-        return value
-
-
-def terms_of(text: str | None, ids: TermIds) -> np.ndarray:
-    """A number for each word of a text, A to Z in lower case, words being what white space separates."""
-    return np.fromiter(map(ids.__getitem__, (text or "").encode("utf-8", "surrogatepass").lower().split()), np.int64)
+def terms_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text's number, term's number) of every word, and the terms: A to Z in lower case, cut at ASCII white space, and hashed with XXH64 into a signed long."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words = split.flatten().dictionary_encode()
+    distinct = words.dictionary.to_pylist()
+    hashed = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct)).view(np.int64)
+    code = words.indices.to_numpy().astype(np.int64)
+    owner = np.repeat(np.arange(len(texts)), split.value_lengths().to_numpy(zero_copy_only=False))
+    if "" in distinct:
+        there = code != distinct.index("")
+        code, owner = code[there], owner[there]
+    return owner, code, hashed
 
 
 INDEX = "docs binary, lengths binary, terms binary, pointers binary, posts binary, counts binary, n long, words long"
@@ -62,32 +61,52 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text", most_docs: i
     Null and empty texts have no terms but count as documents. Keys must be longs; a null key is kept as the least long.
     """
 
-    def built(keys: list[int], words: list[np.ndarray]) -> pa.RecordBatch:
-        found = [np.unique(w, return_counts=True) for w in words]
-        lengths = np.array([len(w) for w in words], dtype=np.int64)
-        common = np.array([t[c.argmax()] if len(t) else 0 for t, c in found], dtype=np.int64)
-        order = np.lexsort((lengths, common))
-        terms = np.concatenate([found[i][0] for i in order])
-        counts = np.concatenate([found[i][1] for i in order])
-        posts = np.repeat(np.arange(len(order)), [len(found[i][0]) for i in order])
-        by_term = np.argsort(terms, kind="stable")
-        unique, first = np.unique(terms[by_term], return_index=True)
-        arrays = [np.array(keys, dtype=np.int64)[order], lengths[order], unique, np.append(first, len(terms)).astype(np.int64), posts[by_term].astype(np.int32), counts[by_term].astype(np.int32)]
-        return pa.RecordBatch.from_arrays([*(pa.array([a.tobytes()], pa.binary()) for a in arrays), pa.array([len(keys)], pa.int64()), pa.array([int(lengths.sum())], pa.int64())], names=[x.split(" ")[0] for x in INDEX.split(", ")])
+    names = [x.split(" ")[0] for x in INDEX.split(", ")]
+
+    def built(keys: np.ndarray, owner: np.ndarray, number: np.ndarray, terms: np.ndarray) -> pa.RecordBatch:
+        n = len(keys)
+        lengths = np.bincount(owner, minlength=n).astype(np.int64)
+        pairs, counts = np.unique(number * n + owner, return_counts=True)
+        term, doc = pairs // n, pairs % n
+        common = np.zeros(n, dtype=np.int64)  # a document's most frequent term, the first of equals, stands for what it is like
+        np.maximum.at(common, doc, counts * (len(terms) + 1) + len(terms) - term)
+        order = np.lexsort((lengths, -(common % (len(terms) + 1))))
+        place = np.empty(n, dtype=np.int64)
+        place[order] = np.arange(n)
+        most = int(counts.max(initial=0)) + 1
+        packed = np.sort((term * n + place[doc]) * most + counts)
+        posts = packed // most
+        used, pointers = np.unique(term, return_index=True)
+        arrays = [keys[order], lengths[order], terms[used], np.append(pointers, len(term)).astype(np.int64), (posts % n).astype(np.int32), (packed % most).astype(np.int32)]
+        return pa.RecordBatch.from_arrays([*(pa.array([a.tobytes()], pa.binary()) for a in arrays), pa.array([n], pa.int64()), pa.array([len(number)], pa.int64())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, keys, words, size = TermIds(), [], [], 0
+        held: list[tuple[np.ndarray, ...]] = []
+        docs = size = 0
+
+        def shard() -> pa.RecordBatch:
+            nonlocal docs, size
+            terms = np.sort(np.concatenate([h[3] for h in held]))
+            terms = terms[np.append(True, terms[1:] != terms[:-1])] if len(terms) else terms
+            starts = np.cumsum([0, *(len(h[0]) for h in held)])
+            made = built(np.concatenate([h[0] for h in held]), np.concatenate([h[1] + a for h, a in zip(held, starts, strict=False)]), np.concatenate([np.searchsorted(terms, h[3])[h[2]] for h in held]), terms)
+            held.clear()
+            docs = size = 0
+            return made
+
         for whole in batches:
             for batch in _small(whole):
-                for k, t in zip(batch.column(0).fill_null(-(1 << 63)).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    keys.append(k)
-                    words.append(terms_of(t, ids))
-                    size += len(words[-1])
-                    if len(keys) >= most_docs or size >= 2 * most_posts:
-                        yield built(keys, words)
-                        keys, words, size = [], [], 0
-        if keys:
-            yield built(keys, words)
+                for at in range(0, batch.num_rows, most_docs):
+                    part = batch.slice(at, most_docs)
+                    if held and docs + part.num_rows > most_docs:
+                        yield shard()
+                    words = terms_of(part.column(1))
+                    held.append((part.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), *words))
+                    docs, size = docs + part.num_rows, size + len(words[0])
+                    if size >= 2 * most_posts:
+                        yield shard()
+        if held:
+            yield shard()
 
     return docs.select(F.col(key).cast("long"), text).mapInArrow(run, INDEX)
 
@@ -96,8 +115,8 @@ class Shard:
     """One shard's arrays, with each posting's weight under the corpus's mean length.
 
     Documents stand in blocks of ``BLOCK``. Every term has a block maximum for each block that has it, and where its
-    postings of that block are. Terms that a sixteenth of the documents have are dense rows besides, for products.
-    ``scored`` and ``passed`` count the postings that were added up and those of the queries' terms.
+    postings of that block are. Terms that one document in 32 has are dense columns besides, for products.
+    ``scored`` and ``passed`` count the terms' blocks that were opened and all that the queries' terms have.
     """
 
     def __init__(self, row: dict, mean_length: float):
@@ -114,13 +133,14 @@ class Shard:
         self.block_posts, self.block_of = np.append(first, len(block)), block[first]
         self.block_max = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
         self.block_pointers = np.searchsorted(first, self.pointers)
-        often = np.flatnonzero(np.diff(self.pointers) * 16 >= len(self.keys))
-        self.dense = np.zeros((len(often), self.n_blocks * BLOCK))
+        often = np.flatnonzero(np.diff(self.pointers) * 32 >= len(self.keys))
+        self.dense = np.zeros((self.n_blocks * BLOCK, len(often)))
         self.maxima = np.zeros((len(often), self.n_blocks))
         for i, t in enumerate(often):
             p, q = slice(self.pointers[t], self.pointers[t + 1]), slice(self.block_pointers[t], self.block_pointers[t + 1])
-            self.dense[i, self.posts[p]] = self.weights[p]
+            self.dense[self.posts[p], i] = self.weights[p]
             self.maxima[i, self.block_of[q]] = self.block_max[q]
+        self.near = np.ascontiguousarray(self.dense.reshape(self.n_blocks, BLOCK, len(often)).transpose(0, 2, 1).astype(np.float32))
         self.row_of = np.full(len(self.terms), -1)
         self.row_of[often] = np.arange(len(often))
         self.scored = self.passed = 0
@@ -136,7 +156,7 @@ class Shard:
         n = len(starts) - 1
         owner = np.repeat(np.arange(n), np.diff(starts))
         row = self.row_of[at]
-        frequent = np.zeros((n, len(self.dense)))
+        frequent = np.zeros((n, self.dense.shape[1]))
         frequent[owner[row >= 0], row[row >= 0]] = idf[row >= 0]
         rare = at[row < 0]
         sizes = self.block_pointers[rare + 1] - self.block_pointers[rare]
@@ -144,7 +164,8 @@ class Shard:
         who, gain = np.repeat(owner[row < 0], sizes), np.repeat(idf[row < 0], sizes)
         pair = who * self.n_blocks + self.block_of[cell]
         bounds = np.bincount(pair, weights=gain * self.block_max[cell], minlength=n * self.n_blocks).reshape(n, self.n_blocks).astype(np.float64) + frequent @ self.maxima
-        self.passed += int((self.pointers[at + 1] - self.pointers[at]).sum())
+        asked = (frequent > 0).sum(axis=1)
+        self.passed += len(cell) + int(asked.sum()) * self.n_blocks
 
         threshold = np.zeros(n) if floor is None else floor.copy()
         queries, docs, scores = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
@@ -157,10 +178,23 @@ class Shard:
             if not opened.any():
                 continue
             closed &= ~opened
+            left = (opened | closed & (bounds >= threshold[:, None] - SLACK)).ravel()[pair]
+            pair, cell, gain = pair[left], cell[left], gain[left]
             block, query = np.nonzero(opened.T)
-            got = self._scores(opened, block, query, frequent, pair, cell, gain)
-            i, j = np.nonzero(got >= np.maximum(threshold[query], 1e-6)[:, None])
-            queries, docs, scores = np.concatenate([queries, query[i]]), np.concatenate([docs, block[i] * BLOCK + j]), np.concatenate([scores, got[i, j]])
+            self.scored += int(opened.ravel()[pair].sum()) + int(asked[query].sum())
+            got, off = self._scores(opened, block, query, frequent, pair, cell, gain, bounds)
+            i, j = np.nonzero(got >= (np.maximum(threshold, 1e-6) - off)[query][:, None])
+            q, d, about = query[i], block[i] * BLOCK + j, got[i, j]
+            order = np.lexsort((-about, q))
+            place = np.arange(len(order)) - np.searchsorted(q[order], q[order])
+            last = order[place == k - 1]
+            least = np.full(n, -np.inf)
+            least[q[last]] = about[last] - 2 * off[q[last]]
+            i, j, q, d = (x[about >= least[q]] for x in (i, j, q, d))
+            exact = np.concatenate([self._exact(q[x : x + 4096], d[x : x + 4096], frequent) for x in range(0, len(q), 4096)] or [np.zeros(0)])
+            exact = np.round(exact + self._sums[i, j], DIGITS)
+            good = exact >= np.maximum(threshold[q], 1e-6)
+            queries, docs, scores = np.concatenate([queries, q[good]]), np.concatenate([docs, d[good]]), np.concatenate([scores, exact[good]])
             order = np.lexsort((self.keys[docs], -scores, queries))
             place = np.arange(len(order)) - np.searchsorted(queries[order], queries[order])
             queries, docs, scores = (x[order[place < k]] for x in (queries, docs, scores))
@@ -168,23 +202,29 @@ class Shard:
             threshold[queries[last]] = np.maximum(threshold[queries[last]], scores[last])
         return queries, self.keys[docs], scores
 
-    def _scores(self, opened: np.ndarray, block: np.ndarray, query: np.ndarray, frequent: np.ndarray, pair: np.ndarray, cell: np.ndarray, gain: np.ndarray) -> np.ndarray:
-        """Rounded scores of the documents of each opened block for its query; pairs come by block."""
-        number = np.full(opened.size, -1)
+    def _scores(self, opened: np.ndarray, block: np.ndarray, query: np.ndarray, frequent: np.ndarray, pair: np.ndarray, cell: np.ndarray, gain: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the documents of each opened block for its query, and by how much at most each query's may be off; pairs come by block.
+
+        Products of frequent terms are taken in single precision here; the rare terms' sums, kept aside, are exact.
+        """
+        number = np.full(opened.size, -1, dtype=np.int32)
         number[query * self.n_blocks + block] = np.arange(len(block))
         mine = number[pair]
         there = np.flatnonzero(mine >= 0)
         sizes = self.block_posts[cell[there] + 1] - self.block_posts[cell[there]]
         p = _ranges(self.block_posts[cell[there]], sizes)
-        place = np.repeat(mine[there], sizes) * BLOCK + self.posts[p] % BLOCK
-        sums = np.bincount(place, weights=np.repeat(gain[there], sizes) * self.weights[p], minlength=len(block) * BLOCK).reshape(len(block), BLOCK).astype(np.float64)
-        self.scored += len(p)
+        place = np.repeat(mine[there].astype(np.int64) * BLOCK, sizes) + self.posts[p] % BLOCK
+        self._sums = np.bincount(place, weights=np.repeat(gain[there], sizes) * self.weights[p], minlength=len(block) * BLOCK).reshape(len(block), BLOCK).astype(np.float64)
+        single = frequent.astype(np.float32)
+        out = self._sums.astype(np.float32)
         blocks, first = np.unique(block, return_index=True)
         for b, x, y in zip(blocks.tolist(), first.tolist(), [*first[1:].tolist(), len(block)], strict=True):
-            columns = self.dense[:, b * BLOCK : (b + 1) * BLOCK]
-            sums[x:y] += frequent[query[x:y]] @ columns
-            self.scored += (y - x) * int((self.maxima[:, b] > 0).sum())
-        return np.round(sums, DIGITS)
+            out[x:y] += single[query[x:y]] @ self.near[b]
+        return out, (self.dense.shape[1] + 4) * 2.0**-23 * bounds.max(axis=1)
+
+    def _exact(self, query: np.ndarray, doc: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+        """What frequent terms add to each of these pairs."""
+        return np.einsum("ij,ij->i", frequent[query], self.dense[doc])
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -198,16 +238,16 @@ def query_terms(queries: DataFrame, key: str = "doc_id", text: str = "text") ->
     """query_id and term, one row for each distinct word of each query's whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = TermIds()
         for whole in batches:
             for batch in _small(whole):
-                words = [np.unique(terms_of(t, ids)) for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(words)), [len(w) for w in words]))), pa.array(np.concatenate([*words, np.zeros(0, dtype=np.int64)]))], names=["query_id", "term"])
+                owner, number, terms = terms_of(batch.column(1))
+                pairs = np.unique(owner * max(1, len(terms)) + number)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs // max(1, len(terms)))), pa.array(terms[pairs % max(1, len(terms))])], names=["query_id", "term"])
 
     return queries.select(F.col(key).cast("long").alias("query_id"), text).mapInArrow(run, "query_id long, term long")
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text", block_terms: int = 2_000_000) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text", block_terms: int = 1_000_000) -> DataFrame:
     """query_id, rank (from 1), doc_id and score: each query's k best documents by BM25 over its distinct words.
 
     Equal scores go by key. Documents without a word of the query are never returned, so a query without words has no

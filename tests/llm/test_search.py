@@ -52,7 +52,6 @@ def test_small_shards_and_blocks_give_the_same(spark, monkeypatch):
 
 
 def _shard(texts):
-    words = [search.terms_of(t, search.TermIds()) for t in texts]
     rows = {}
 
     class Sink:
@@ -65,15 +64,15 @@ def _shard(texts):
             return self
 
     search.index(Sink())
-    return search.Shard(rows, sum(map(len, words)) / len(words))
+    return search.Shard(rows, len(search.terms_of(pa.array(texts))[0]) / len(texts))
 
 
 def test_bounds_skip_blocks_but_never_a_result():
     rng = np.random.default_rng(5)
     rare = [f"r{i}" for i in range(40)]
     texts = [" ".join([*rng.choice(rare, 3), *(["common"] * int(rng.integers(1, 5)))]) for _ in range(2000)]
-    shard, ids = _shard(texts), search.TermIds()
-    terms = np.unique(search.terms_of("r1 r2 common", ids))
+    shard = _shard(texts)
+    terms = np.unique(search.terms_of(pa.array(["r1 r2 common"]))[2])
     at, idf = np.searchsorted(shard.terms, terms), np.array([0.3, 2.0, 2.5])
     all_scores = np.zeros(len(texts))
     for a, w in zip(at, idf, strict=True):
