@@ -42,6 +42,8 @@ WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r\n|\n
 #: Read backwards from a window's end: whatever a token, an escape or a match could still be open in, joined over line
 #: breaks and over the blanks that an assignment may have; before it, the rest of a character.
 OPEN = re.compile(rb"[\x80-\xff]{0,3}+(?:[A-Za-z0-9+/_.=%\\{}\"':-]|[ \t>]*+[\r\n]++[ \t]*+)*+(?:\x20++[A-Za-z0-9+/_.=%\\{}\"':-]*+){0,2}+")
+JOINT = re.compile(r"[+/_-]")
+WIDE = re.compile(r"[\t\n\r\x20-\x7e](?:\x00[\t\n\r\x20-\x7e]){7,}")
 PIECE = re.compile(r"[A-Za-z0-9+/_-]+")
 URL_SAFE = str.maketrans("-_", "+/")
 
@@ -60,9 +62,9 @@ class Layer(NamedTuple):
             return self.starts, self.ends
         return int(self.starts[a]), int(self.ends[b - 1])
 
-    def mark(self) -> tuple[int | None, str]:
+    def mark(self) -> tuple[int | None, str | bytes]:
         """What tells a layer from others: its text, or a digest of a long one, and where it starts."""
-        text = self.text if len(self.text) < 4096 else hashlib.sha256(self.text.encode("utf-8", "surrogatepass")).hexdigest()
+        text = self.text if len(self.text) < 128 else hashlib.sha256(self.text.encode("utf-8", "surrogatepass")).digest()
         first = self.starts if self.starts is None or isinstance(self.starts, int) else int(self.starts[0])
         return first, text
 
@@ -79,23 +81,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _percent(run: str) -> str | None:
-    try:
-        return bytes.fromhex(run.replace("%", "")).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+def _percent(run: str) -> str:
+    return bytes.fromhex(run.replace("%", "")).decode("utf-8", "surrogateescape")
 
 
-def _escape(run: str) -> str | None:
+def _escape(run: str) -> str:
     points = [int(next(filter(None, groups)), 16) for groups in ESCAPED.findall(run)]
-    try:
-        return b"".join(p.to_bytes(2, "little") if p < 0x10000 else chr(p).encode("utf-16-le") for p in points).decode("utf-16-le")
-    except (UnicodeDecodeError, ValueError):
-        return None
+    units = (p.to_bytes(2, "little") if p < 0x10000 else chr(min(p, 0x10FFFF)).encode("utf-16-le") for p in points)
+    return b"".join(units).decode("utf-16-le", "surrogatepass")
 
 
 def _spliced(layer: Layer, pattern: re.Pattern, decoded) -> Iterator[Layer]:
-    """The layer with every run that decodes replaced; its characters keep their own spans."""
+    """The layer with every run replaced by what it stands for, bad bytes by marks; other characters keep their own spans."""
     text, parts, starts, ends, at = layer.text, [], [], [], 0
     if layer.starts is None:
         own = ends_of = None
@@ -107,8 +104,6 @@ def _spliced(layer: Layer, pattern: re.Pattern, decoded) -> Iterator[Layer]:
         own, ends_of = np.arange(len(text)), np.arange(1, len(text) + 1)
     for m in pattern.finditer(text):
         new = decoded(m[0])
-        if not new:
-            continue
         a, b = m.span()
         parts += [text[at:a], new]
         starts += [own[at:a], np.full(len(new), own[a])]
@@ -169,14 +164,41 @@ def _bytes(body: str) -> bytes:
 
 
 def _base64(layer: Layer, window: int) -> Iterator[Layer]:
-    """Every token decoded, whatever its bytes are, and what it unpacks to if it looks compressed."""
+    """Every token decoded, whatever its bytes are, and what it unpacks to where it looks compressed.
+
+    A token may have something else before it that is spelled with the same signs (``blob/...``, ``k-...``). So it is read
+    from its start and from behind each sign that is no letter or digit, once for each of the four alignments.
+    """
     for m in TOKEN.finditer(layer.text):
-        data = _bytes(m[0].rstrip("="))
-        a, b = layer.origin(*m.span())
-        if _compressed(data):
-            for text in _inflated(data, window):
-                yield Layer(text, a, b)
-        yield Layer(data.decode("utf-8", "surrogateescape"), a, b)
+        body = m[0].rstrip("=")
+        begins = np.array([0, *(x.end() for x in JOINT.finditer(body))])
+        for turn in range(4):
+            own = begins[begins % 4 == turn]
+            if not len(own) or len(body) - own[0] < LEAST_BODY:
+                continue
+            first = int(own[0])
+            data = _bytes(body[first:])
+            view = memoryview(data)
+            end = layer.origin(*m.span())[1]
+            for k in own.tolist():
+                packed = view[(k - first) // 4 * 3 :]
+                if _compressed(packed[:2]):
+                    start = layer.origin(m.start() + k, m.end())[0]
+                    for text in _inflated(packed, window):
+                        yield Layer(text, start, end)
+            yield Layer(data.decode("utf-8", "surrogateescape"), layer.origin(m.start() + first, m.end())[0], end)
+
+
+def _wide(layer: Layer) -> Iterator[Layer]:
+    """Stretches of characters with a zero between each two, as UTF-16 has them, without the zeros."""
+    for m in WIDE.finditer(layer.text):
+        if layer.starts is None:
+            at = np.arange(m.start(), m.end(), 2)
+            yield Layer(m[0][::2], at, at + 1)
+        elif isinstance(layer.starts, int):
+            yield Layer(m[0][::2], layer.starts, layer.ends)
+        else:
+            yield Layer(m[0][::2], layer.starts[m.start() : m.end() : 2], layer.ends[m.start() : m.end() : 2])
 
 
 def _wrapped(layer: Layer, window: int) -> Iterator[Layer]:
@@ -241,34 +263,44 @@ def _packed_length(data: memoryview, window: int) -> int:
     return at if made else 0
 
 
+def _inner(layer: Layer, window: int) -> Iterator[Layer]:
+    """What a layer unwraps to, one step deep."""
+    if "%" in layer.text:
+        yield from _spliced(layer, PERCENT, _percent)
+    if "\\" in layer.text:
+        yield from _spliced(layer, ESCAPE, _escape)
+    if "\0" in layer.text:
+        yield from _wide(layer)
+    yield from _base64(layer, window)
+    if "\n" in layer.text or "\r" in layer.text:
+        yield from _wrapped(layer, window)
+
+
 def scan_text(text: str | None, window: int = 16 << 20) -> list[tuple[int, int, int, bool]]:
-    """(start, kind, end, whether the base scan has it) of all findings, sorted; a null text has none."""
+    """(start, kind, end, whether the base scan has it) of all findings, sorted; a null text has none.
+
+    The worklist holds one unfinished layer for each depth: a layer's windows and tokens are unwrapped and worked one after
+    another, so what is held at once does not grow with what a layer unpacks to.
+    """
     if not text:
         return []
     base = base_spans(text)
     found, kept = {s: True for s in base}, set(base)
-    todo = [Layer(text)]
-    seen = {todo[0].mark()}
-    while todo:
-        layer = todo.pop()
+    work, seen = [iter((Layer(text),))], set()
+    while work:
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        mark = layer.mark()
+        if mark in seen:
+            continue
+        seen.add(mark)
         if layer.starts is not None:
             for a, kind, b in base_spans(layer.text):
                 start, end = layer.origin(a, b)
                 found.setdefault((start, kind, end), False)
-        inner: list[Iterator[Layer]] = []
-        if "%" in layer.text:
-            inner.append(_spliced(layer, PERCENT, _percent))
-        if "\\" in layer.text:
-            inner.append(_spliced(layer, ESCAPE, _escape))
-        inner.append(_base64(layer, window))
-        if "\n" in layer.text or "\r" in layer.text:
-            inner.append(_wrapped(layer, window))
-        for layers in inner:
-            for new in layers:
-                mark = new.mark()
-                if mark not in seen:
-                    seen.add(mark)
-                    todo.append(new)
+        work.append(_inner(layer, window))
     return sorted((a, kind, b, (a, kind, b) in kept) for a, kind, b in found)
 
 

@@ -1,10 +1,13 @@
 import base64
 import gzip
+import re
 import zlib
 from hashlib import sha256
 from urllib.parse import quote
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from ledgerline.llm import secrets
 
@@ -116,3 +119,83 @@ def test_query(spark, tmp_path):
     clean = {r.doc_id: r for r in secrets.redact(docs).collect()}
     assert all(clean[i].text == texts[i] for i in range(len(ODD))) and clean[len(ODD) + 2].text == "[SECRET] [SECRET]"
     assert secrets.scan(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("before", ["blob/", "k-", "a_b-", "data+/", "x/yy/zzz/", "aaaa/bbb/"])
+def test_base64_behind_other_signs(before):
+    for payload in (PW.encode(), gzip.compress(PW.encode()), PW.encode("utf-16-le"), b"\xff\xfe" + PW.encode("utf-16-be")):
+        for encoded in (b64(payload), base64.urlsafe_b64encode(payload).decode().rstrip("=")):
+            text = f"see {before}{encoded} end"
+            found = secrets.scan_text(text)
+            assert found and all(4 <= a <= 4 + len(before) and b == len(text) - 4 for a, _, b, _ in found), text
+
+
+def test_runs_with_bad_bytes():
+    for text in ("password%3D%FFhunter2hunter2", "password%3Dhunter2hunter2%C3", "%E9password%3Dhunter2hunter2", "\\ud800password\\u003dhunter2hunter2"):
+        found = secrets.scan_text(text)
+        assert bool(found) == ("%FFhunter" not in text), text
+
+
+def _layers(text):
+    """All that a text unwraps to, by the plainest means: every token at every offset, every run of escapes, over and over."""
+    seen, todo = set(), [text]
+    while todo:
+        t = todo.pop()
+        if t in seen:
+            continue
+        seen.add(t)
+        todo.append(re.sub(r"(?:%[0-9A-Fa-f]{2})+", lambda m: bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape"), t))
+        todo.append(re.sub(r"\\u([0-9a-f]{4})", lambda m: chr(int(m[1], 16)), t))
+        todo.append(t.replace("\0", "") if "\0" in t else t)
+        for body in {*re.findall(r"[A-Za-z0-9+/_-]{19,}", t), *(re.sub(r"[\n ]", "", m) for m in re.findall(r"[A-Za-z0-9+/_-]+(?:\n[A-Za-z0-9+/_-]+)+", t))}:
+            for at in [0, *(m.end() for m in re.finditer(r"[+/_-]", body))]:
+                part = body[at:]
+                if len(part) < 19:
+                    continue
+                part = part[: len(part) - (len(part) % 4 == 1)].translate(str.maketrans("-_", "+/"))
+                data = base64.b64decode(part + "=" * (-len(part) % 4))
+                todo.append(data.decode("utf-8", "surrogateescape"))
+                for bits in (31, 15):
+                    try:
+                        todo.append(zlib.decompressobj(bits).decompress(data).decode("utf-8", "surrogateescape"))
+                    except zlib.error:
+                        pass
+    return seen
+
+
+def _escaped(x: bytes) -> bytes:
+    return "".join(f"\\u{ord(c):04x}" for c in x.decode("latin-1")).encode()
+
+
+WRAPPERS = {
+    "url": lambda x: quote(x, safe="").encode(), "all": lambda x: "".join(f"%{c:02x}" for c in x).encode(), "unicode": _escaped, "base64": base64.b64encode, "bare": lambda x: base64.urlsafe_b64encode(x).rstrip(b"="),
+    "gzip": lambda x: base64.b64encode(gzip.compress(x)), "zlib": lambda x: base64.b64encode(zlib.compress(x)), "path": lambda x: b"blob/" + base64.b64encode(x), "lines": lambda x: wrap(base64.b64encode(x).decode(), 24).encode(),
+}
+
+
+@given(st.lists(st.sampled_from(sorted(WRAPPERS)), max_size=3), st.sampled_from([PW, "token=abcd1234", "x AKIA" + "Q" * 16 + " y", "just some words of prose", "0123456789abcdef" * 2, "passwd=short"]), st.sampled_from(["", "word ", "é:\n"]))
+@settings(max_examples=250, deadline=None)
+def test_equals_the_plainest_unwrapping(wrappers, payload, before):
+    data = payload.encode()
+    for w in wrappers:
+        data = WRAPPERS[w](data)
+    text = f"{before}{data.decode()} end"
+    want = any(secrets.base_spans(t) for t in _layers(text))
+    found = secrets.scan_text(text)
+    assert bool(found) == want, (wrappers, payload)
+    assert all(len(before) <= a < b <= len(text) - 3 for a, _, b, _ in found)
+    assert found == secrets.scan_text(text, window=64)
+
+
+def test_bounded_work():
+    """Layers are unwrapped one at a time: what is held at once doesn't grow with what a payload unpacks to."""
+    import tracemalloc
+
+    held = []
+    for n in (2_000_000, 16_000_000):
+        packed = b64(gzip.compress(b"some words here " * (n // 16) + PW.encode()))
+        tracemalloc.start()
+        assert secrets.scan_text(packed, window=200_000)
+        held.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert held[1] < 2 * held[0] and held[1] < 12_000_000
