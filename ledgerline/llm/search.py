@@ -44,8 +44,8 @@ def terms_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     words = split.flatten().dictionary_encode()
     distinct = words.dictionary.to_pylist()
     hashed = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct)).view(np.int64)
-    code = words.indices.to_numpy().astype(np.int64)
-    owner = np.repeat(np.arange(len(texts)), split.value_lengths().to_numpy(zero_copy_only=False))
+    code = words.indices.to_numpy()
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), split.value_lengths().to_numpy(zero_copy_only=False))
     if "" in distinct:
         there = code != distinct.index("")
         code, owner = code[there], owner[there]
@@ -55,7 +55,7 @@ def terms_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 INDEX = "docs binary, lengths binary, terms binary, pointers binary, posts binary, counts binary, n long, words long"
 
 
-def index(docs: DataFrame, key: str = "doc_id", text: str = "text", most_docs: int = 8192, most_posts: int = 4_000_000) -> DataFrame:
+def index(docs: DataFrame, key: str = "doc_id", text: str = "text", most_docs: int = 8192, most_posts: int = 2_000_000) -> DataFrame:
     """Shards of at most ``most_docs`` documents and about ``most_posts`` postings; every document is in one.
 
     Null and empty texts have no terms but count as documents. Keys must be longs; a null key is kept as the least long.
@@ -66,7 +66,7 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text", most_docs: i
     def built(keys: np.ndarray, owner: np.ndarray, number: np.ndarray, terms: np.ndarray) -> pa.RecordBatch:
         n = len(keys)
         lengths = np.bincount(owner, minlength=n).astype(np.int64)
-        pairs, counts = np.unique(number * n + owner, return_counts=True)
+        pairs, counts = np.unique(number.astype(np.int64) * n + owner, return_counts=True)
         term, doc = pairs // n, pairs % n
         common = np.zeros(n, dtype=np.int64)  # a document's most frequent term, the first of equals, stands for what it is like
         np.maximum.at(common, doc, counts * (len(terms) + 1) + len(terms) - term)
@@ -89,7 +89,7 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text", most_docs: i
             terms = np.sort(np.concatenate([h[3] for h in held]))
             terms = terms[np.append(True, terms[1:] != terms[:-1])] if len(terms) else terms
             starts = np.cumsum([0, *(len(h[0]) for h in held)])
-            made = built(np.concatenate([h[0] for h in held]), np.concatenate([h[1] + a for h, a in zip(held, starts, strict=False)]), np.concatenate([np.searchsorted(terms, h[3])[h[2]] for h in held]), terms)
+            made = built(np.concatenate([h[0] for h in held]), np.concatenate([h[1] + np.int32(a) for h, a in zip(held, starts, strict=False)]), np.concatenate([np.searchsorted(terms, h[3]).astype(np.int32)[h[2]] for h in held]), terms)
             held.clear()
             docs = size = 0
             return made
@@ -241,7 +241,7 @@ def query_terms(queries: DataFrame, key: str = "doc_id", text: str = "text") ->
         for whole in batches:
             for batch in _small(whole):
                 owner, number, terms = terms_of(batch.column(1))
-                pairs = np.unique(owner * max(1, len(terms)) + number)
+                pairs = np.unique(owner.astype(np.int64) * max(1, len(terms)) + number)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs // max(1, len(terms)))), pa.array(terms[pairs % max(1, len(terms))])], names=["query_id", "term"])
 
     return queries.select(F.col(key).cast("long").alias("query_id"), text).mapInArrow(run, "query_id long, term long")
