@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import heapq
 import unicodedata
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -165,20 +166,88 @@ def merge_pairs(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i : ends[i]]] for i in range(n) if alive[i]]
 
 
+class PairMerger:
+    """Pair merging of many short slices at once, those of one length as rows of a matrix: each round merges every row's pair of the lowest rank, the leftmost of equals."""
+
+    NONE = np.iinfo(np.int32).max
+
+    def __init__(self, ranks: dict[bytes, int]):
+        pairs = {}
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                left, right = ranks.get(token[:i]), ranks.get(token[i:])
+                if left is not None and right is not None:
+                    pairs[left << 32 | right] = rank
+        self.keys = np.array(sorted(pairs), dtype=np.int64)
+        self.values = np.array([*(pairs[k] for k in self.keys.tolist()), self.NONE], dtype=np.int32)
+        self.bytes = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
+        self.first = self.rank(np.repeat(self.bytes, 256), np.tile(self.bytes, 256)).reshape(256, 256)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """What two neighbours merge into, which is its rank too; NONE if they don't."""
+        wanted = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.keys, wanted)
+        at[at == len(self.keys)] = -1
+        return np.where(self.keys[at] == wanted, self.values[at], self.NONE) if len(self.keys) else np.full(len(wanted), self.NONE, np.int32)
+
+    def merged(self, slices: list[bytes]) -> list[bytes]:
+        """Ids of slices of equal length, as little-endian bytes."""
+        n, width = len(slices), len(slices[0])
+        data = np.frombuffer(b"".join(slices), np.uint8).reshape(n, width)
+        symbols, sizes = self.bytes[data], np.full(n, width)
+        ranks = np.concatenate([self.first[data[:, :-1], data[:, 1:]], np.full((n, 1), self.NONE, np.int32)], axis=1)
+        columns, rows = np.arange(width), np.arange(n)
+        while len(rows):
+            own = ranks[rows]
+            j = own.argmin(axis=1)
+            rank = own[np.arange(len(rows)), j]
+            go = rank < self.NONE
+            rows, own, j, rank = rows[go], own[go], j[go], rank[go]
+            if not len(rows):
+                break
+            shift = np.minimum(columns + (columns > j[:, None]), width - 1)
+            left, at = np.take_along_axis(symbols[rows], shift, 1), np.arange(len(rows))
+            own = np.take_along_axis(own, shift, 1)
+            left[at, j] = rank
+            sizes[rows] -= 1
+            own[at, sizes[rows] - 1] = self.NONE
+            more = np.flatnonzero(j < sizes[rows] - 1)
+            own[more, j[more]] = self.rank(rank[more], left[more, j[more] + 1])
+            more = np.flatnonzero(j > 0)
+            own[more, j[more] - 1] = self.rank(left[more, j[more] - 1], rank[more])
+            symbols[rows], ranks[rows] = left, own
+        flat = symbols[columns < sizes[:, None]].astype("<i4").tobytes()
+        ends = (4 * np.cumsum(sizes)).tolist()
+        return [flat[x:y] for x, y in zip([0, *ends], ends, strict=False)]
+
+
 class Cache(dict):
     """Slice to its ids as little-endian bytes; cleared when ``most`` slices are held, long slices are not held."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 400_000, longest: int = 64):
+    def __init__(self, ranks: dict[bytes, int], most: int = 200_000, longest: int = 32):
         super().__init__()
-        self.ranks, self.most, self.longest = ranks, most, longest
+        self.ranks, self.most, self.longest, self.pairs = ranks, most, longest, PairMerger(ranks)
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(merge_pairs(piece.encode(), self.ranks), dtype="<i4").tobytes()
-        if len(piece) <= self.longest:
-            if len(self) >= self.most:
-                self.clear()
-            self[piece] = ids
-        return ids
+        return np.array(merge_pairs(piece.encode(), self.ranks), dtype="<i4").tobytes()
+
+    def ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each of the distinct ``pieces``; short ones that are not held are merged together."""
+        if len(self) > self.most:
+            self.clear()
+        by_length = defaultdict(list)
+        for p in pieces:
+            if p not in self:
+                data = p.encode()
+                if (rank := self.ranks.get(data)) is not None:
+                    self[p] = rank.to_bytes(4, "little")
+                elif len(data) <= self.longest:
+                    by_length[len(data)].append((p, data))
+        for group in by_length.values():
+            for at in range(0, len(group), 20_000):
+                part = group[at : at + 20_000]
+                self.update(zip((p for p, _ in part), self.pairs.merged([d for _, d in part]), strict=True))
+        return list(map(self.__getitem__, pieces))
 
 
 @lru_cache(4)
@@ -195,9 +264,12 @@ def _bytes_of(path: str) -> list[bytes]:
     return found
 
 
-def encode_texts(texts: list[str], path: str, chars: int = 2_000_000) -> list[bytes]:
-    """Ids (little-endian 32-bit) of each text; the texts are scanned together, about ``chars`` characters at a time."""
-    get, out, at = _cache(path).__getitem__, [], 0
+def encode_texts(texts: list[str], path: str, chars: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids, how many each text has); the texts are scanned together, about ``chars`` characters at a time.
+
+    Slices stay views into the texts' bytes. Arrow numbers the distinct ones, each of which is merged once.
+    """
+    cache, found, counts, at = _cache(path), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
     while at < len(texts):
         upto, size = at, 0
         while upto < len(texts) and (upto == at or size + len(texts[upto]) < chars):
@@ -207,15 +279,24 @@ def encode_texts(texts: list[str], path: str, chars: int = 2_000_000) -> list[by
         joined = "\n".join([*group, ""])
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32).copy()
         ends = np.cumsum([len(t) + 1 for t in group]) - 1
+        to = np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000), dtype=np.int64)
         points[ends] = SEPARATOR
         where = np.flatnonzero(starts_of(points))
-        first = np.searchsorted(where, np.concatenate([[0], ends[:-1] + 1])).tolist()
-        last = np.searchsorted(where, ends).tolist()
-        where = where.tolist()
-        pieces = [joined[a:b] for a, b in zip(where, where[1:], strict=False)]
-        out.extend(b"".join(map(get, pieces[a:b])) for a, b in zip(first, last, strict=True))
+        offsets = np.append(0, to)[np.append(where, len(points))]
+        slices = pa.LargeStringArray.from_buffers(len(where), pa.py_buffer(offsets), pa.py_buffer(joined.encode()))
+        distinct = slices.dictionary_encode()
+        merged = cache.ids(distinct.dictionary.to_pylist())
+        code = distinct.indices.to_numpy()
+        code = code[points[where] != SEPARATOR]
+        own = where[points[where] != SEPARATOR]
+        sizes = np.array([len(x) >> 2 for x in merged], dtype=np.int64)
+        flat, starts, n = np.frombuffer(b"".join(merged), "<i4"), np.cumsum(sizes) - sizes, sizes[code]
+        upto_ids = np.append(0, np.cumsum(n))
+        found.append(flat[np.repeat(starts[code] - upto_ids[:-1], n) + np.arange(upto_ids[-1])])
+        bounds = upto_ids[np.searchsorted(own, np.concatenate([[0], ends]))]
+        counts.append(np.diff(bounds))
         at = upto
-    return out
+    return np.concatenate(found), np.concatenate(counts)
 
 
 def encode(df: DataFrame, path: str, text: str = "text", carry: tuple[str, ...] = ("doc_id",), offsets: bool = True) -> DataFrame:
@@ -226,12 +307,17 @@ def encode(df: DataFrame, path: str, text: str = "text", carry: tuple[str, ...]
     schema = T.StructType([*(df.schema[c] for c in carry), T.StructField("ids", T.ArrayType(T.IntegerType(), False)), *([T.StructField("offsets", T.ArrayType(T.LongType(), False))] if offsets else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from encoded(batches)
+        finally:
+            _cache(path).clear()  # the worker lives on, and what it runs next needs the memory
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.array([len(b) for b in _bytes_of(path)], dtype=np.int64)
         for whole in batches:
-            for batch in _small(whole):
-                found = encode_texts(batch.column(batch.num_columns - 1).fill_null("").to_pylist(), path)
-                flat = np.frombuffer(b"".join(found), "<i4")
-                bounds = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found], dtype=np.int64)]).astype(np.int32)
+            for batch in _small(whole, 4 << 20):
+                flat, counts = encode_texts(batch.column(batch.num_columns - 1).fill_null("").to_pylist(), path)
+                bounds = np.append(0, np.cumsum(counts)).astype(np.int32)
                 columns = [*(batch.column(i) for i in range(len(carry))), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))]
                 if offsets:
                     upto = np.concatenate([[0], np.cumsum(sizes[flat])])

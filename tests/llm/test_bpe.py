@@ -38,8 +38,11 @@ def test_scan_across_blocks():
 def test_encoding_equals_the_library(library):
     rng = random.Random(2)
     texts = [t or "" for t in ODD] + ["".join(rng.choice(ALPHABET) for _ in range(rng.randrange(300))) for _ in range(200)] + ["ab" * 4000, "<|endoftext|>", "zzz" + "xy" * 700]
-    for t, ids in zip(texts, bpe.encode_texts(texts, PATH, chars=500), strict=True):
-        assert np.frombuffer(ids, "<i4").tolist() == library.encode_ordinary(t)
+    for chars in (500, 2_000_000):
+        ids, counts = bpe.encode_texts(texts, PATH, chars=chars)
+        for t, own in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+            assert own.tolist() == library.encode_ordinary(t)
+    assert [x.tolist() for x in bpe.encode_texts([], PATH)] == [[], []]
 
 
 def test_merges_with_heap_equal_the_loop():
@@ -60,6 +63,17 @@ def test_merges_with_heap_equal_the_loop():
     for _ in range(300):
         piece = bytes(rng.choice(b"abcdeing\xc3\xa9 ") for _ in range(rng.randrange(1, 40)))
         assert bpe.merge_pairs(piece, ranks) == slow(piece)
+    merger = bpe.PairMerger(ranks)
+    for width in (2, 3, 5, 8, 32):
+        pieces = [bytes(rng.choice(b"abcdeing\xc3\xa9 ") for _ in range(width)) for _ in range(200)] + [b"a" * width]
+        assert [np.frombuffer(x, "<i4").tolist() for x in merger.merged(pieces)] == [bpe.merge_pairs(p, ranks) if p in ranks or width > 1 else [ranks[p]] for p in pieces]
+
+
+def test_few_held_slices_change_nothing(library):
+    cache = bpe.Cache(bpe.load_ranks(PATH), most=3, longest=5)
+    words = [" garden", "qzx", "x" * 40, "éé", " unlikelywordhere", "qzx"]
+    for _ in range(3):
+        assert [np.frombuffer(x, "<i4").tolist() for x in cache.ids(words[:5])] == [library.encode_ordinary(w) for w in words[:5]]
 
 
 def test_query_and_offsets(spark, tmp_path, library):
