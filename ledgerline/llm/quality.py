@@ -181,9 +181,10 @@ def measured(df: DataFrame, key: str = "doc_id", text: str = "text", extra: tupl
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", sample_rows: int = 20_000) -> Forest:
     """Fits on at most ``sample_rows`` labelled rows (``common.teaching``): one row of features for each reaches the driver."""
     rows = measured(teaching(docs, labels, label, sample_rows, key), "__label")
-    got = rows.select("__label", "features").orderBy("__label", F.xxhash64("features")).toPandas()
-    x = np.array(got["features"].tolist(), dtype=np.float64).reshape(-1, len(FEATURES))
-    return fit(x, got["__label"].to_numpy(dtype=np.float64), tuple(FEATURES.values()))
+    got = rows.select("__label", "features").toPandas()
+    x, y = np.array(got["features"].tolist(), dtype=np.float64).reshape(-1, len(FEATURES)), got["__label"].to_numpy(dtype=np.float64)
+    order = np.lexsort((*x.T, y))  # whatever order the rows came in
+    return fit(x[order], y[order], tuple(FEATURES.values()))
 
 
 def judged(counted: DataFrame, forest: Forest, at_least: float = 0.5) -> DataFrame:
