@@ -1,9 +1,9 @@
 """SimHash near-duplicates by anchor points.
 
-Fingerprints of 64 bits link at 2 or fewer differing bits. Of two linked ones, one half differs in at most one bit. The
-anchors of a half are the codewords of the perfect Hamming code over 31 of its bits, whose covering radius is 1: each
-fingerprint has one home anchor within that radius, and is replicated to every anchor within radius plus threshold, 2,
-of which there are at most 16. So each linked pair meets at the home of either, and comparing per anchor is exact.
+Fingerprints of 64 bits link at 2 (or, as a parameter, 3) or fewer differing bits. Of two linked ones, one half differs
+in at most one bit. The anchors of a half are the codewords of the perfect Hamming code over 31 of its bits, whose
+covering radius is 1: each fingerprint has one home anchor within that radius, and is replicated to every anchor within
+radius plus threshold, 2, of which there are at most 16. So each linked pair meets at the home of either, and comparing per anchor is exact.
 Equal fingerprints are one node throughout; components come from star contraction over the links.
 """
 
@@ -99,9 +99,9 @@ def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def links(nodes: DataFrame, bits: int = 2) -> DataFrame:
-    """Pairs (a, b), a < b, of the distinct ``fp`` values of ``nodes`` that differ in at most ``bits`` (2 or fewer) bits."""
-    if not 0 <= bits <= 2:
-        raise ValueError("these anchors cover 2 or fewer differing bits")
+    """Pairs (a, b), a < b, of the distinct ``fp`` values of ``nodes`` that differ in at most ``bits`` (3 or fewer) bits."""
+    if not 0 <= bits <= 3:
+        raise ValueError("these anchors cover 3 or fewer differing bits")
     schema = "anchor long, fp long, home boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

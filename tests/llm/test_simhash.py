@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from ledgerline.llm import simhash
@@ -74,6 +75,10 @@ def test_links_equal_all_pairs(spark):
     want = {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if bin((a ^ b) & ((1 << 64) - 1)).count("1") <= 2}
     nodes = spark.createDataFrame([(f,) for f in fps], "fp long")
     assert {tuple(r) for r in simhash.links(nodes).collect()} == want
+    three = {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if bin((a ^ b) & ((1 << 64) - 1)).count("1") <= 3}
+    assert len(three) > len(want) and {tuple(r) for r in simhash.links(nodes, 3).collect()} == three
+    with pytest.raises(ValueError):
+        simhash.links(nodes, 4)
     docs = spark.createDataFrame([(100 + i, f) for i, f in enumerate(fps)] + [(7, fps[-1]), (None, fps[0])], "doc_id long, fp long")
     ids = [100 + i for i in range(len(fps))]
     want = dict(zip(fps, roots([f & ((1 << 64) - 1) for f in fps], ids), strict=True))
