@@ -15,6 +15,8 @@ from ledgerline.llm.common import checkpoint, discard, fresh, scratch, table
 
 TOXIC = 0.7
 MIN_WORDS = 50
+#: Differing bits of near copies: what the anchors cover at no more cost than the two bits of op9.
+NEAR_BITS = 3
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -38,9 +40,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints: the row of the smallest doc_id and text hash."""
+    """One document of each group of fingerprints linked at 3 bits or fewer: the row of the smallest doc_id and text hash."""
     fps = checkpoint(simhash.fingerprints(docs, hashed=True))
-    return simhash.representatives(docs, fps)
+    return simhash.representatives(docs, fps, NEAR_BITS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
