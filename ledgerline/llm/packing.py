@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,65 +26,60 @@ from .common import checkpoint, table
 CAPACITY = 2048
 END_ID = 1
 #: Marks that the tokenizer keeps apart from a word before them, and where the Latin letters end that NFC leaves alone.
-MARKS, LATIN_END = "!#$%&()*+,-./:;<=>?@[]^_`{|}~\"\\", "\u0250"
+MARKS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~\"\\"
+#: Letters that NFC and lower-casing treat alone: Latin up to U+024F, but for the dotted capital I.
+PLAIN = "^[\x01-\u012f\u0131-\u024f]*$"
 
 
 class ChunkCache(dict):
-    """Chunk to its ids as little-endian bytes, in two generations of ``most`` chunks: what is used moves to the newer one, the older one is let go."""
+    """Chunk to its ids as little-endian bytes, in two generations of ``most`` chunks: what is used moves to the newer one, the older one is let go.
 
-    def __init__(self, path: str, most: int = 120_000, longest: int = 64):
+    Lower-case words, which go through the merges alone, are held in ``words`` in the same way.
+    """
+
+    def __init__(self, path: str, most: int = 60_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.most, self.longest = Tokenizer.from_file(path), most, longest
-        self.older: dict[str, bytes] = {}
         with open(path) as f:
             bare = json.load(f)
         pieces = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
         self.bare = Tokenizer.from_str(json.dumps(bare | {"normalizer": None, "pre_tokenizer": pieces, "added_tokens": []}))
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.older.get(chunk)
-        if ids is None:
-            ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(chunk) <= self.longest:
-            self[chunk] = ids
-        return ids
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
 
     def forget(self) -> None:
-        self.clear()
-        self.older = {}
-
-    def learn(self, chunks: set[str]) -> None:
-        """Encodes the unknown ones of ``chunks`` together; many of a corpus's chunks occur once, and a call for each would cost most of the time.
+        for held in (self, self.older, self.words, self.older_words):
+            held.clear()
 
-        A Latin word and the marks behind it are pieces of their own to the tokenizer. So a word is lower-cased here and
-        goes through the merges alone, once for all its spellings; whatever else a chunk is, the whole tokenizer takes.
-        """
+    def chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each of the distinct ``chunks``, by the whole tokenizer."""
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
-        new = chunks.difference(self.keys(), self.older.keys())
-        plain, other = [], []
-        for c in new:
-            word = c.rstrip(MARKS)
-            lower = word.lower()
-            if lower.isalpha() and (c.isascii() or (word.isalpha() and max(c) < LATIN_END)):
-                plain.append((c, lower, c[len(word) :]))
-            else:
-                other.append(c)
-        known = dict(self._encoded(self.bare, list({p[1] for p in plain if len(p[1]) <= self.longest})))
-        self.update(self._encoded(self.tokenizer, [*{p[2] for p in plain}, *(c for c in other if len(c) <= self.longest)]))
-        self.update((c, known[word] + self[marks]) for c, word, marks in plain if len(word) <= self.longest)
-
-    def _encoded(self, tokenizer, words: list[str], step: int = 20_000) -> Iterator[tuple[str, bytes]]:
-        for at in range(0, len(words), step):
-            part = words[at : at + step]
-            made = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+        return self._ids(self, self.older, self.tokenizer, chunks)
+
+    def lower_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each of the distinct ``words``, by the merges alone."""
+        if len(self.words) >= self.most:
+            self.older_words, self.words = self.words, {}
+        return self._ids(self.words, self.older_words, self.bare, words)
+
+    def _ids(self, held: dict[str, bytes], older: dict[str, bytes], tokenizer, texts: list[str], step: int = 20_000) -> list[bytes]:
+        out = [held.get(t) or older.get(t) for t in texts]
+        missing = [i for i, x in enumerate(out) if x is None]
+        for at in range(0, len(missing), step):
+            part = missing[at : at + step]
+            made = tokenizer.encode([texts[i] for i in part], is_pretokenized=True, add_special_tokens=False)
             counts = np.bincount(np.array(made.word_ids, dtype=np.int64), minlength=len(part))
             ends = (4 * np.cumsum(counts)).tolist()
             data = np.array(made.ids, dtype="<u4").tobytes()
-            yield from zip(part, (data[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True)
+            for i, x, y in zip(part, [0, *ends], ends, strict=False):
+                out[i] = data[x:y]
+        held.update((t, x) for t, x in zip(texts, out, strict=True) if len(t) <= self.longest)
+        return out
 
 
 @lru_cache(4)
@@ -91,12 +87,57 @@ def _cache(path: str) -> ChunkCache:
     return ChunkCache(path)
 
 
-def token_bytes(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text, 4 bytes each. The tokenizer drops white space and never looks across a space or a line's end, so chunks between these encode alone."""
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def _parts(chunks: pa.StringArray) -> tuple[np.ndarray, pa.StringArray, pa.StringArray]:
+    """(which chunks are a Latin word and marks behind it, these words in lower case, the marks)."""
+    word = pc.utf8_rtrim(chunks, MARKS)
+    lower = pc.utf8_lower(word)
+    plain = pc.and_(pc.utf8_is_alpha(lower), pc.or_(pc.string_is_ascii(chunks), pc.and_(pc.utf8_is_alpha(word), pc.match_substring_regex(chunks, PLAIN)))).to_numpy(zero_copy_only=False)
+    of = np.flatnonzero(plain)
+    own = pc.binary_length(word).to_numpy(zero_copy_only=False)[of]
+    whole = np.frombuffer(chunks.buffers()[1], np.int32)[chunks.offset : chunks.offset + len(chunks) + 1].astype(np.int64)
+    rest = np.diff(whole)[of] - own
+    bytes_of = np.frombuffer(chunks.buffers()[2] or b"", np.uint8)[_ranges(whole[:-1][of] + own, rest)]
+    marks = pa.StringArray.from_buffers(len(of), pa.py_buffer(np.append(0, np.cumsum(rest)).astype(np.int32)), pa.py_buffer(bytes_of.tobytes()))
+    return plain, lower.take(pa.array(of)), marks
+
+
+def _joined(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(all ids, where each list of them starts, how many it has)."""
+    sizes = np.array([len(x) >> 2 for x in ids], dtype=np.int64)
+    return np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes, sizes
+
+
+def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids, how many each text has). The tokenizer drops white space and never looks across a space or a line's end, so chunks between these encode alone.
+
+    Arrow cuts and numbers the chunks. A Latin word and the marks behind it are pieces of their own to the tokenizer, so
+    a word is lower-cased here and goes through the merges alone, once for all its spellings; whatever else a chunk is,
+    the whole tokenizer takes.
+    """
     cache = _cache(path)
-    parted = [t.replace("\n", " ").split(" ") for t in texts]
-    cache.learn(set().union(*parted))
-    return [b"".join(map(cache.__getitem__, chunks)) for chunks in parted]
+    split = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+    chunks = split.flatten().dictionary_encode()
+    distinct, code = chunks.dictionary, chunks.indices.to_numpy()
+    plain, lower, marks = _parts(distinct)
+    lower, marks = lower.dictionary_encode(), marks.dictionary_encode()
+    # three lists of ids, one after another: of words, of marks, of other chunks
+    made = [cache.lower_words(lower.dictionary.to_pylist()), cache.chunks(marks.dictionary.to_pylist()), cache.chunks(distinct.filter(pa.array(~plain)).to_pylist())]
+    flat, starts, sizes = _joined([x for part in made for x in part])
+    first, second = np.full(len(distinct), -1), np.full(len(distinct), -1)
+    first[plain], second[plain] = lower.indices.to_numpy(), marks.indices.to_numpy() + len(made[0])
+    first[~plain] = np.arange(len(made[2])) + len(made[0]) + len(made[1])
+    own = np.stack([first[code], second[code]], axis=1).ravel()
+    n = np.where(own >= 0, sizes[own], 0) if len(sizes) else np.zeros(len(own), dtype=np.int64)
+    ids = flat[_ranges(starts[own], n)] if len(sizes) else flat
+    upto = np.append(0, np.cumsum(n))[::2]
+    ends = np.append(0, np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64))
+    return ids, np.diff(upto[ends])
 
 
 def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, text: str = "text", key: str = "doc_id", ids: bool = False) -> DataFrame:
@@ -119,9 +160,12 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, text: str = "text
         for whole in batches:
             for batch in _small(whole, 2 << 20):
                 at, start, length, crc, total, own = [], [], [], [], [], []
-                for i, own_ids in enumerate(token_bytes(batch.column(1).fill_null("").to_pylist(), path)):
-                    data = own_ids + end
-                    n = len(data) // 4
+                found, counts = token_ids(batch.column(1), path)
+                bounds = np.append(0, np.cumsum(counts)).tolist()
+                found = memoryview(found.tobytes())
+                for i, (first, last) in enumerate(zip(bounds, bounds[1:], strict=False)):
+                    data = bytes(found[4 * first : 4 * last]) + end
+                    n = last - first + 1
                     for a in range(0, n, capacity):
                         b = min(n, a + capacity)
                         at.append(i)

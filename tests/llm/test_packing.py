@@ -2,6 +2,7 @@ import zlib
 from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -41,8 +42,16 @@ def test_ids_equal_the_library():
     tokenizer = Tokenizer.from_file(PATH)
     alphabet = "ab <|endoftext|>é1٣2'  \n\t\r'drvelm'!?*_ 😀ñÅÅ.　ΣςİKſŉßŁ,́"
     texts = [t or "" for t in ODD] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(200))) for _ in range(500)] + ["Word!!! WORD*** word, word. 'word' don't <|endoftext|> x<|startoftext|>"]
-    for t, data in zip(texts, packing.token_bytes(texts, PATH), strict=True):
-        assert np.frombuffer(data, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+    texts += [chr(c) * 3 + "!" + chr(c) for c in range(1, 0x260)]
+    for _ in range(2):
+        ids, counts = packing.token_ids(pa.array(texts), PATH)
+        for t, own in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+            assert own.tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+    for few in ([None, "", " \n "], ["Word!!"], []):
+        ids, counts = packing.token_ids(pa.array(few, pa.string()), PATH)
+        assert ids.tolist() == [i for t in few for i in tokenizer.encode(t or "", add_special_tokens=False).ids] and len(counts) == len(few)
+    sliced = pa.array(["x", "One two!", "é, 2", "y"]).slice(1, 2)
+    assert packing.token_ids(sliced, PATH)[0].tolist() == [i for t in ("One two!", "é, 2") for i in tokenizer.encode(t, add_special_tokens=False).ids]
 
 
 def test_query(spark, tmp_path):
