@@ -37,7 +37,7 @@ class ChunkCache(dict):
     Lower-case words, which go through the merges alone, are held in ``words`` in the same way.
     """
 
-    def __init__(self, path: str, most: int = 60_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 150_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -158,7 +158,7 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, text: str = "text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _small(whole, 2 << 20):
+            for batch in _small(whole, 4 << 20):
                 at, start, length, crc, total, own = [], [], [], [], [], []
                 found, counts = token_ids(batch.column(1), path)
                 bounds = np.append(0, np.cumsum(counts)).tolist()
