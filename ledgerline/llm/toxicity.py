@@ -50,7 +50,7 @@ DOUBLED, TRIPLED, PLAIN = re.compile(f"([{LETTERS}])\\1"), re.compile(f"([{LETTE
 RUN = re.compile(r"(?<!\S)\S{1,3}(?:\s+\S{1,3})+(?!\S)")
 #: A fragment that the channel leaves one reading, if its letters differ; marks beside it drop at the same price anyway.
 CERTAIN = re.compile(f"[{re.escape(''.join(sorted(SEPARATORS)))}]*([{LETTERS}]+)[{re.escape(''.join(sorted(SEPARATORS)))}]*")
-#: Bytes of text that are restored together.
+#: Bytes of text that are restored together; of words a quarter, since each has up to seven features.
 BATCH = 4 << 20
 #: Longer tokens are decoded each time that they occur, so that caches stay small.
 KEPT_LENGTH = 64
@@ -442,7 +442,7 @@ def evidence_counts(taught: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _small(whole, BATCH):
+            for batch in _small(whole, BATCH // 4):
                 row, feature, names = _featured(batch)
                 toxic = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)[row]
                 pos, neg = (np.bincount(feature[x], minlength=len(names)) for x in (toxic, ~toxic))
@@ -473,7 +473,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = shared.value
         for whole in batches:
-            for batch in _small(whole, BATCH):
+            for batch in _small(whole, BATCH // 4):
                 row, feature, own = _featured(batch)
                 number = np.array([names.get(f, -1) for f in own], dtype=np.int32)[feature]
                 bounds = np.searchsorted(row[number >= 0], np.arange(batch.num_rows + 1)).astype(np.int32)
