@@ -52,7 +52,7 @@ class Ordered:
         return self._without(rows, self.df.columns)
 
     def _without(self, rows: DataFrame, columns: list[str]) -> Ordered:
-        key = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+        key = F.struct(*columns)  # as structs, nulls equal each other
         wanted = rows.select(key.alias("_key")).groupBy("_key").agg(F.count("*").alias("_n"))
         here = checkpoint(self.df.withColumns({"_key": key, "_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()}))
         there = here.groupBy("_key", "_part").agg(F.count("*").alias("_there")).join(wanted, "_key")
