@@ -1,12 +1,13 @@
 """Exact BM25 top-k search by block-max WAND, run per shard and merged exactly.
 
 A shard is a run of documents of an input split: an inverted index in numpy arrays, its documents ordered so that like
-ones stand together and cut into blocks. Every term has its largest weight by block; their sum bounds what a document of
-the block can score, and blocks whose bound is under a query's threshold are not opened. Thresholds start from what a
+ones stand together and cut into blocks. Terms that many documents near each other have are dense columns there, with
+their largest weight by block; these and what all other terms add bound what a document of the block can score, and
+blocks whose bound is under a query's threshold are not opened. Thresholds start from what a
 few shards that are searched first have found, and rise with the k-th best score. Blocks are opened for many queries
-together, so their work is array sums and products. Document counts, lengths and frequencies are those of the whole
+together, so their work is array sums and products; queries stand in like order too. Document counts, lengths and frequencies are those of the whole
 corpus, so scores of different shards compare, and the merge of the shards' top k is the exact top k. Queries come in
-blocks of bounded size, each against all shards.
+blocks of bounded size, several against each shard while it is open.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,13 +29,21 @@ from .bpe import _small
 from .common import checkpoint, table
 
 K1, B = 1.2, 0.75
-BLOCK = 32
+BLOCK, PART, TILE = 32, 256, 1024
+#: So many documents of a tile make a term a dense column there, and so much memory may a shard's dense columns take.
+DENSE, DENSE_BYTES = 48, 160 << 20
 #: Scores are compared after rounding to so many digits; bounds give way by more than that.
 DIGITS, SLACK = 6, 2e-6
 #: So many queries are scored together in a shard.
-QUERIES_AT_ONCE = 256
-#: Blocks that a query opens in each round, those with the best bounds; 0 means all that its threshold leaves.
+QUERIES_AT_ONCE = 512
+#: Rare postings are kept in lanes of so many.
+LANE = 4
+#: So many rare postings are unfolded at once, few enough for a core's cache.
+POSTS_AT_ONCE = 1 << 17
+#: Blocks that a query without a threshold opens in each round, those with the best bounds; 0 means all that its threshold leaves.
 ROUNDS = (8, 0)
+#: So many blocks of queries are searched while a shard is open.
+BLOCKS_AT_ONCE = 5
 #: One in so many shards is searched first.
 SCOUTS = 8
 
@@ -114,85 +124,103 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text", most_docs: i
 class Shard:
     """One shard's arrays, with each posting's weight under the corpus's mean length.
 
-    Documents stand in blocks of ``BLOCK``. Every term has a block maximum for each block that has it, and where its
-    postings of that block are. Terms that one document in 32 has are dense columns besides, for products.
-    ``scored`` and ``passed`` count the terms' blocks that were opened and all that the queries' terms have.
+    Documents stand in blocks of ``BLOCK``, and blocks in tiles of ``TILE`` documents. Terms that ``DENSE`` documents of a
+    tile have are dense columns of that tile, for products; of all other postings, the rare ones, lists are kept by term.
+    Dense columns take ``DENSE_BYTES`` at most; where they would take more, they need more documents. ``scored`` and
+    ``passed`` count the pairs of query and block that were opened and all that share a term.
     """
 
     def __init__(self, row: dict, mean_length: float):
         as_ = lambda name, kind: np.frombuffer(row[name], kind)
         self.keys, self.terms, self.pointers, self.posts = as_("docs", np.int64), as_("terms", np.int64), as_("pointers", np.int64), as_("posts", np.int32)
         lengths, counts = as_("lengths", np.int64), as_("counts", np.int32)
-        self.weights = counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[self.posts] / mean_length))
-        self.n_blocks = -(-len(self.keys) // BLOCK)
-        block = self.posts // BLOCK
-        new = np.ones(len(block), dtype=bool)
-        new[1:] = block[1:] != block[:-1]
+        self.weights = counts * (K1 + 1) / (counts + (K1 * (1 - B + B * lengths / mean_length))[self.posts])
+        self.n_tiles = -(-len(self.keys) // TILE)
+        self.n_blocks = self.n_tiles * (TILE // BLOCK)
+        tile = self.posts // TILE
+        new = np.ones(len(tile), dtype=bool)
+        new[1:] = tile[1:] != tile[:-1]
         new[self.pointers[:-1]] = True
-        first = np.flatnonzero(new)
-        self.block_posts, self.block_of = np.append(first, len(block)), block[first]
-        self.block_max = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
-        self.block_pointers = np.searchsorted(first, self.pointers)
-        often = np.flatnonzero(np.diff(self.pointers) * 32 >= len(self.keys))
-        self.dense = np.zeros((self.n_blocks * BLOCK, len(often)))
-        self.maxima = np.zeros((len(often), self.n_blocks))
-        for i, t in enumerate(often):
-            p, q = slice(self.pointers[t], self.pointers[t + 1]), slice(self.block_pointers[t], self.block_pointers[t + 1])
-            self.dense[self.posts[p], i] = self.weights[p]
-            self.maxima[i, self.block_of[q]] = self.block_max[q]
-        self.near = np.ascontiguousarray(self.dense.reshape(self.n_blocks, BLOCK, len(often)).transpose(0, 2, 1).astype(np.float32))
+        first = np.flatnonzero(new)  # of a term's postings in a tile
+        sizes = np.diff(np.append(first, len(tile)))
+        least = DENSE
+        while int((sizes >= least).sum()) * TILE * 12 > DENSE_BYTES:
+            least *= 2
+        dense = sizes >= least
+        rare = np.repeat(~dense, sizes)
+        pointers = np.append(0, np.cumsum(rare))[self.pointers]
+        lanes = -(-np.diff(pointers) // LANE)
+        self.lanes = np.append(0, np.cumsum(lanes))  # a term's first lane
+        place = np.repeat(self.lanes[:-1] * LANE - pointers[:-1], np.diff(pointers)) + np.arange(pointers[-1])
+        self.lane_posts, self.lane_weights = np.zeros(self.lanes[-1] * LANE, dtype=np.int32), np.zeros(self.lanes[-1] * LANE)
+        self.lane_posts[place] = self.posts[rare] % BLOCK * self.n_blocks + self.posts[rare] // BLOCK
+        self.lane_weights[place] = self.weights[rare]
+        self.lane_posts, self.lane_weights = self.lane_posts.reshape(-1, LANE), self.lane_weights.reshape(-1, LANE)
+        term = np.searchsorted(self.pointers, first[dense], "right") - 1
+        often, column = np.unique(term, return_inverse=True)
         self.row_of = np.full(len(self.terms), -1)
         self.row_of[often] = np.arange(len(often))
+        self.spot = np.full((len(often), self.n_tiles), -1, dtype=np.int32)  # a term's column in each tile
+        self.columns, self.near, self.maxima = [], [], []
+        by_tile = np.argsort(tile[first[dense]], kind="stable")
+        cuts = np.searchsorted(tile[first[dense]][by_tile], np.arange(self.n_tiles + 1))
+        self.first_of = cuts * TILE  # of a tile's dense columns in ``flat``
+        self.flat = np.zeros(int(cuts[-1]) * TILE)
+        for t in range(self.n_tiles):
+            mine = by_tile[cuts[t] : cuts[t + 1]]
+            n = sizes[dense][mine]
+            p = _ranges(first[dense][mine], n)
+            held = self.flat[self.first_of[t] : self.first_of[t + 1]].reshape(TILE, len(mine))
+            held[_row(self.posts[p]), np.repeat(np.arange(len(mine)), n)] = self.weights[p]
+            self.columns.append(column[mine])
+            by_part = held.reshape(BLOCK, TILE // PART, PART // BLOCK, len(mine)).transpose(1, 0, 2, 3)
+            self.near.append(by_part.astype(np.float32, order="C").reshape(TILE // PART, PART, len(mine)))
+            self.spot[column[mine], t] = np.arange(len(mine))
+            self.maxima.append(held.reshape(BLOCK, TILE // BLOCK, len(mine)).max(axis=0).T.astype(np.float32))
         self.scored = self.passed = 0
 
     def top(self, starts: np.ndarray, at: np.ndarray, idf: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, key, rounded score) of each query's k best documents, equal scores by key; query i has ``at[starts[i]:starts[i + 1]]`` of ``terms``.
 
-        Block-max WAND, a block for all queries at a time. A block's bound for a query is the sum of its terms' block
-        maxima. Blocks whose bound is under the query's threshold are never opened: their postings are passed over. The
-        threshold is ``floor`` (what other shards' k-th best are known to reach), and then the k-th best score so far.
-        The blocks with the best bounds are opened first, and each round leaves fewer for the next.
+        Block-max WAND, a tile for all queries at a time. A block's bound for a query is the sum of its dense terms'
+        block maxima and the most that its rare terms add to one document. Blocks whose bound is under the query's
+        threshold are never opened. The threshold is ``floor`` (what other shards' k-th best are known to reach), and
+        then the k-th best score so far. A query without a threshold opens the blocks with the best bounds first.
         """
         n = len(starts) - 1
         owner = np.repeat(np.arange(n), np.diff(starts))
         row = self.row_of[at]
-        frequent = np.zeros((n, self.dense.shape[1]))
-        frequent[owner[row >= 0], row[row >= 0]] = idf[row >= 0]
-        rare = at[row < 0]
-        sizes = self.block_pointers[rare + 1] - self.block_pointers[rare]
-        cell = _ranges(self.block_pointers[rare], sizes)  # the rare terms' blocks
-        who, gain = np.repeat(owner[row < 0], sizes), np.repeat(idf[row < 0], sizes)
-        pair = who * self.n_blocks + self.block_of[cell]
-        bounds = np.bincount(pair, weights=gain * self.block_max[cell], minlength=n * self.n_blocks).reshape(n, self.n_blocks).astype(np.float64) + frequent @ self.maxima
-        asked = (frequent > 0).sum(axis=1)
-        self.passed += len(cell) + int(asked.sum()) * self.n_blocks
+        frequent = np.zeros((len(self.spot), n), dtype=np.float32)
+        frequent[row[row >= 0], owner[row >= 0]] = idf[row >= 0]
+        asked = [np.ascontiguousarray(frequent[c].T) for c in self.columns]
+        sums = self._rare(starts, at, idf)
+        bounds = np.concatenate([a @ m for a, m in zip(asked, self.maxima, strict=True)], axis=1)
+        bounds += sums.max(axis=1)
+        part = (max(map(len, self.columns)) + 4) * 2.0**-23  # by how much of a bound single precision may be off
+        off = part * bounds.max(axis=1).astype(np.float64)
+        closed = bounds > 0
+        self.passed += int(closed.sum())
 
         threshold = np.zeros(n) if floor is None else floor.copy()
         queries, docs, scores = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
-        closed = bounds > 0
         for width in ROUNDS:
-            opened = closed & (bounds >= threshold[:, None] - SLACK)
+            opened = closed & (bounds >= (threshold - SLACK - 2 * off)[:, None])
             if 0 < width < self.n_blocks:
-                ranked = np.where(opened, bounds, -1.0)
+                opened &= (threshold <= 0)[:, None]
+                ranked = np.where(opened, bounds, np.float32(-1))
                 opened &= bounds >= -np.partition(-ranked, width - 1, axis=1)[:, width - 1 : width]
             if not opened.any():
                 continue
             closed &= ~opened
-            left = (opened | closed & (bounds >= threshold[:, None] - SLACK)).ravel()[pair]
-            pair, cell, gain = pair[left], cell[left], gain[left]
-            block, query = np.nonzero(opened.T)
-            self.scored += int(opened.ravel()[pair].sum()) + int(asked[query].sum())
-            got, off = self._scores(opened, block, query, frequent, pair, cell, gain, bounds)
-            i, j = np.nonzero(got >= (np.maximum(threshold, 1e-6) - off)[query][:, None])
-            q, d, about = query[i], block[i] * BLOCK + j, got[i, j]
+            self.scored += int(opened.sum())
+            q, d, about = self._scores(opened, asked, sums, np.maximum(threshold - SLACK - 2 * off, 1e-7))
             order = np.lexsort((-about, q))
             place = np.arange(len(order)) - np.searchsorted(q[order], q[order])
             last = order[place == k - 1]
             least = np.full(n, -np.inf)
-            least[q[last]] = about[last] - 2 * off[q[last]]
-            i, j, q, d = (x[about >= least[q]] for x in (i, j, q, d))
-            exact = np.concatenate([self._exact(q[x : x + 4096], d[x : x + 4096], frequent) for x in range(0, len(q), 4096)] or [np.zeros(0)])
-            exact = np.round(exact + self._sums[i, j], DIGITS)
+            least[q[last]] = about[last] - SLACK - 4 * off[q[last]]
+            q, d = (x[about >= least[q]] for x in (q, d))
+            exact = np.round(self._exact(q, d, starts, row, idf) + sums[q, d % BLOCK, d // BLOCK], DIGITS)
             good = exact >= np.maximum(threshold[q], 1e-6)
             queries, docs, scores = np.concatenate([queries, q[good]]), np.concatenate([docs, d[good]]), np.concatenate([scores, exact[good]])
             order = np.lexsort((self.keys[docs], -scores, queries))
@@ -202,29 +230,73 @@ class Shard:
             threshold[queries[last]] = np.maximum(threshold[queries[last]], scores[last])
         return queries, self.keys[docs], scores
 
-    def _scores(self, opened: np.ndarray, block: np.ndarray, query: np.ndarray, frequent: np.ndarray, pair: np.ndarray, cell: np.ndarray, gain: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of the documents of each opened block for its query, and by how much at most each query's may be off; pairs come by block.
-
-        Products of frequent terms are taken in single precision here; the rare terms' sums, kept aside, are exact.
-        """
-        number = np.full(opened.size, -1, dtype=np.int32)
-        number[query * self.n_blocks + block] = np.arange(len(block))
-        mine = number[pair]
-        there = np.flatnonzero(mine >= 0)
-        sizes = self.block_posts[cell[there] + 1] - self.block_posts[cell[there]]
-        p = _ranges(self.block_posts[cell[there]], sizes)
-        place = np.repeat(mine[there].astype(np.int64) * BLOCK, sizes) + self.posts[p] % BLOCK
-        self._sums = np.bincount(place, weights=np.repeat(gain[there], sizes) * self.weights[p], minlength=len(block) * BLOCK).reshape(len(block), BLOCK).astype(np.float64)
-        single = frequent.astype(np.float32)
-        out = self._sums.astype(np.float32)
-        blocks, first = np.unique(block, return_index=True)
-        for b, x, y in zip(blocks.tolist(), first.tolist(), [*first[1:].tolist(), len(block)], strict=True):
-            out[x:y] += single[query[x:y]] @ self.near[b]
-        return out, (self.dense.shape[1] + 4) * 2.0**-23 * bounds.max(axis=1)
-
-    def _exact(self, query: np.ndarray, doc: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-        """What frequent terms add to each of these pairs."""
-        return np.einsum("ij,ij->i", frequent[query], self.dense[doc])
+    def _rare(self, starts: np.ndarray, at: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """What rare postings add for each query to each place of each block; ``POSTS_AT_ONCE`` of them, or one query's, are unfolded together."""
+        n, width = len(starts) - 1, self.n_blocks * BLOCK
+        out = np.empty((n, width))
+        sizes = self.lanes[at + 1] - self.lanes[at]
+        upto = np.append(0, np.cumsum(sizes))[starts]
+        posts, place, gain = (np.empty((POSTS_AT_ONCE // LANE, LANE), kind) for kind in (np.int32, np.int64, np.float64))
+        a = 0
+        while a < n:
+            b = max(a + 1, int(np.searchsorted(upto, upto[a] + POSTS_AT_ONCE // LANE, "right")) - 1)
+            entry = slice(starts[a], starts[b])
+            many = sizes[entry]
+            each = np.repeat(np.arange(len(many)), many)
+            lane = (self.lanes[at[entry]] - np.cumsum(many) + many)[each] + np.arange(len(each))
+            if len(lane) > len(posts):
+                posts, place, gain = (np.empty((len(lane), LANE), kind) for kind in (np.int32, np.int64, np.float64))
+            m = len(lane)
+            np.take(self.lane_posts, lane, axis=0, out=posts[:m], mode="clip")
+            np.add(posts[:m], np.repeat(np.arange(b - a) * width, np.diff(upto[a : b + 1]))[:, None], out=place[:m])
+            np.take(self.lane_weights, lane, axis=0, out=gain[:m], mode="clip")
+            gain[:m] *= idf[entry][each][:, None]
+            out[a:b] = np.bincount(place[:m].ravel(), weights=gain[:m].ravel(), minlength=(b - a) * width).reshape(b - a, width)
+            a = b
+        return out.reshape(n, BLOCK, self.n_blocks)
+
+    def _scores(self, opened: np.ndarray, asked: list[np.ndarray], sums: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, document, score) in opened blocks where the score is ``least`` or more. Products are taken in single precision here; the rare terms' sums are exact."""
+        found = []
+        n = PART // BLOCK
+        parts = opened.reshape(len(opened), -1, n).any(axis=2)
+        for part in np.flatnonzero(parts.any(axis=0)).tolist():
+            t, i = divmod(part, TILE // PART)
+            who = np.flatnonzero(parts[:, part])
+            got = asked[t][who] @ self.near[t][i].T
+            got += sums[who, :, part * n : (part + 1) * n].reshape(got.shape)
+            i, j = np.divmod(np.flatnonzero(got >= least[who].astype(np.float32)[:, None]), PART)
+            block = part * n + j % n
+            there = opened[who[i], block]
+            i, j, block = i[there], j[there], block[there]
+            found.append((who[i], block * BLOCK + j // n, got[i, j]))
+        return tuple(np.concatenate(z) for z in zip(*found, strict=True))
+
+    def _exact(self, query: np.ndarray, doc: np.ndarray, starts: np.ndarray, row: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """What dense terms add to each of these pairs."""
+        out = np.zeros(len(query))
+        tile = doc // TILE
+        upto = np.append(0, np.cumsum(np.diff(starts)[query]))
+        a = 0
+        while a < len(query):
+            b = max(a + 1, int(np.searchsorted(upto, upto[a] + POSTS_AT_ONCE, "right")) - 1)
+            sizes = np.diff(upto[a : b + 1])
+            each = np.repeat(np.arange(a, b), sizes)
+            entry = _ranges(starts[query[a:b]], sizes)
+            there = row[entry] >= 0
+            each, entry = each[there], entry[there]
+            spot = self.spot[row[entry], tile[each]]
+            there = spot >= 0
+            each, entry, spot = each[there], entry[there], spot[there]
+            at = (self.first_of[tile] + _row(doc) * (np.diff(self.first_of) // TILE)[tile])[each] + spot
+            out[a:b] = np.bincount(each - a, weights=idf[entry] * self.flat[at], minlength=b - a)
+            a = b
+        return out
+
+
+def _row(doc: np.ndarray) -> np.ndarray:
+    """A document's row in its tile: the first of each block, then the second of each, and so on."""
+    return doc % BLOCK * (TILE // BLOCK) + doc % TILE // BLOCK
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -247,13 +319,14 @@ def query_terms(queries: DataFrame, key: str = "doc_id", text: str = "text") ->
     return queries.select(F.col(key).cast("long").alias("query_id"), text).mapInArrow(run, "query_id long, term long")
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text", block_terms: int = 1_000_000) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text", block_terms: int = 1_500_000) -> DataFrame:
     """query_id, rank (from 1), doc_id and score: each query's k best documents by BM25 over its distinct words.
 
     Equal scores go by key. Documents without a word of the query are never returned, so a query without words has no
     rows; neither has one with a null key. Rows that repeat a query's key are one query of all their words; repeated
     documents are documents. Queries are dealt into blocks of about ``block_terms`` terms by a hash of their key; a
-    block is what is broadcast at once. One shard in ``SCOUTS`` is searched first: the k-th best score that a query has
+    block is what is collected and broadcast at once, and ``BLOCKS_AT_ONCE`` of them are searched in one reading of the
+    shards. One shard in ``SCOUTS`` is searched first: the k-th best score that a query has
     there is the threshold that it starts with in all others. Shards and query weights are written to the shared folder,
     so a lost executor costs only the shards that it was searching. Words are told apart by 64-bit hashes.
     """
@@ -278,19 +351,22 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id"
     blocks = max(1, math.ceil(weighted.count() / block_terms))
     scout = F.pmod(F.xxhash64("docs"), F.lit(SCOUTS)) == 0
     found = []
-    for block in range(blocks):
-        mine = weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
-        if not len(mine):
+    for a in range(0, blocks, BLOCKS_AT_ONCE):
+        names, shared = [], []
+        for block in range(a, min(a + BLOCKS_AT_ONCE, blocks)):
+            mine = weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
+            if len(mine):
+                held = _held(*(mine.column(c).to_numpy() for c in ("query_id", "term", "idf")))
+                names.append(held[0])
+                shared.append(spark.sparkContext.broadcast(held))
+        if not names:
             continue
-        ids, terms, idfs = (mine.column(c).to_numpy() for c in ("query_id", "term", "idf"))
-        order = np.lexsort((terms, ids))
-        names, starts = np.unique(ids[order], return_index=True)
-        held = (names, np.append(starts, len(ids)), terms[order], idfs[order])
-        first = _searched(shards.where(scout), held, np.zeros(len(names)), words / n, k)
-        reached = first.where(F.col("rank") == k).select("query_id", "score").toArrow()  # a row for each query of the block at most
-        floor = np.zeros(len(names))
-        floor[np.searchsorted(names, reached.column("query_id").to_numpy())] = reached.column("score").to_numpy()
-        rest = _searched(shards.where(~scout), held, floor, words / n, k)
+        every = np.concatenate(names)
+        sorter, floor, cuts = np.argsort(every), np.zeros(len(every)), np.cumsum([len(x) for x in names])[:-1]
+        first = _searched(shards.where(scout), shared, np.split(floor, cuts), words / n, k)
+        reached = first.where(F.col("rank") == k).select("query_id", "score").toArrow()  # a row for each query of these blocks at most
+        floor[sorter[np.searchsorted(every, reached.column("query_id").to_numpy(), sorter=sorter)]] = reached.column("score").to_numpy()
+        rest = _searched(shards.where(~scout), shared, np.split(floor, cuts), words / n, k)
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
         both = first.drop("rank").unionByName(rest.drop("rank"))
         found.append(checkpoint(both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)))
@@ -300,32 +376,47 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id"
     return reduce(DataFrame.unionByName, found).select("query_id", "rank", doc.alias("doc_id"), "score")
 
 
-def _searched(shards: DataFrame, held: tuple[np.ndarray, ...], floor: np.ndarray, mean: float, k: int) -> DataFrame:
-    """query_id, doc_id, score and rank of the k best of ``shards`` for each query of ``held`` (names, starts, terms, weights), but none under ``floor``."""
-    shared = shards.sparkSession.sparkContext.broadcast((*held, floor))
+def _held(ids: np.ndarray, terms: np.ndarray, idfs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Queries, where each one's terms start, the terms as numbers of distinct ones, these, and their weights.
+
+    Queries stand by their commonest term and then by how many they have, so that those searched together open like blocks.
+    """
+    distinct, first, number = np.unique(terms, return_index=True, return_inverse=True)
+    number = number.astype(np.int32)
+    order = np.lexsort((number, idfs, ids))  # a query's commonest term comes first
+    names, starts, sizes = np.unique(ids[order], return_index=True, return_counts=True)
+    like = np.lexsort((sizes, number[order[starts]]))
+    return names[like], np.append(0, np.cumsum(sizes[like])), number[order[_ranges(starts[like], sizes[like])]], distinct, idfs[first]
+
+
+def _searched(shards: DataFrame, shared: list[Broadcast], floors: list[np.ndarray], mean: float, k: int) -> DataFrame:
+    """query_id, doc_id, score and rank of the k best of ``shards`` for each query of ``shared`` (results of ``_held``), but none under its floor. A shard is opened once for them all."""
+    least = shards.sparkSession.sparkContext.broadcast(floors)
     schema = T.StructType.fromDDL("query_id long, doc_id long, score double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, starts, terms, idf, floor = shared.value
-        floor = floor.copy()
+        asked = [(*s.value, floor.copy()) for s, floor in zip(shared, least.value, strict=True)]
         for batch in batches:
             for i in range(batch.num_rows):
                 shard = Shard({c: batch.column(j)[i].as_buffer() for j, c in enumerate(batch.schema.names)}, mean)
                 if not len(shard.terms):
                     continue
-                out = []
-                for q in range(0, len(names), QUERIES_AT_ONCE):
-                    upto = min(q + QUERIES_AT_ONCE, len(names))
-                    a, b = starts[q], starts[upto]
-                    at = np.minimum(np.searchsorted(shard.terms, terms[a:b]), len(shard.terms) - 1)
-                    there = shard.terms[at] == terms[a:b]
-                    own = np.concatenate([[0], np.cumsum(there)])[starts[q : upto + 1] - a]
-                    query, keys, scores = shard.top(own, at[there], idf[a:b][there], k, floor[q:upto])
-                    out.append((query + q, keys, scores))
-                    worst = np.flatnonzero(np.bincount(query, minlength=upto - q) >= k)
-                    floor[q + worst] = np.maximum(floor[q + worst], scores[np.searchsorted(query, worst, "right") - 1])
-                query, keys, scores = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(names[query]), pa.array(keys), pa.array(scores)], names=schema.names)
+                for names, starts, number, terms, idf, floor in asked:
+                    out = []
+                    known = np.minimum(np.searchsorted(shard.terms, terms), len(shard.terms) - 1)
+                    known[shard.terms[known] != terms] = -1
+                    for q in range(0, len(names), QUERIES_AT_ONCE):
+                        upto = min(q + QUERIES_AT_ONCE, len(names))
+                        a, b = starts[q], starts[upto]
+                        at = known[number[a:b]]
+                        there = at >= 0
+                        own = np.concatenate([[0], np.cumsum(there)])[starts[q : upto + 1] - a]
+                        query, keys, scores = shard.top(own, at[there], idf[number[a:b][there]], k, floor[q:upto])
+                        out.append((query + q, keys, scores))
+                        worst = np.flatnonzero(np.bincount(query, minlength=upto - q) >= k)
+                        floor[q + worst] = np.maximum(floor[q + worst], scores[np.searchsorted(query, worst, "right") - 1])
+                    query, keys, scores = (np.concatenate(x) for x in zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(names[query]), pa.array(keys), pa.array(scores)], names=schema.names)
 
     hits = shards.select("docs", "lengths", "terms", "pointers", "posts", "counts").mapInArrow(run, schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")

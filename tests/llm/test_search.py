@@ -110,6 +110,48 @@ def test_random_shards_equal_all_scores(monkeypatch):
                 assert keys[query == q].tolist() == shard.keys[order].tolist() and np.allclose(scores[query == q], total[order], atol=2e-6)
 
 
+def test_shards_are_read_once_for_several_blocks_of_queries(spark, monkeypatch):
+    rng = random.Random(6)
+    docs = table(spark, [prose(rng, 30) for _ in range(120)])
+    searched, passes = search._searched, []
+    monkeypatch.setattr(search, "_searched", lambda *a: passes.append(1) or searched(*a))
+    whole = sorted(map(tuple, search.search(docs, docs.where("doc_id % 6 = 0"), k=3).collect()))
+    one = len(passes)
+    assert sorted(map(tuple, search.search(docs, docs.where("doc_id % 6 = 0"), k=3, block_terms=150).collect())) == whole
+    assert len(passes) == 2 * one  # four blocks and more would have been as many readings
+
+
+def test_columns_are_those_of_like_documents():
+    rng = np.random.default_rng(9)
+    words = [[f"{c}{i}" for i in range(300)] for c in "abc"]
+    shard = _shard([" ".join([c, c, c, c, *rng.choice(words["abc".index(c)], 60)]) for c in "abc" for _ in range(2048)])
+    assert len(shard.spot) >= 903 and max(map(len, shard.columns)) <= 301  # no tile has columns for words of others
+
+
+def test_small_tiles_lanes_and_memory_equal_all_scores(monkeypatch):
+    rng = np.random.default_rng(10)
+    for name, value in {"BLOCK": 4, "PART": 8, "TILE": 32, "DENSE": 3, "LANE": 2, "POSTS_AT_ONCE": 16}.items():
+        monkeypatch.setattr(search, name, value)
+    for room in (1 << 20, 32 * 12 * 5, 0):
+        monkeypatch.setattr(search, "DENSE_BYTES", room)
+        texts = [" ".join(rng.choice([f"w{i}" for i in range(90)], int(rng.integers(0, 25)), p=np.arange(90, 0, -1) / 4095)) for _ in range(333)]
+        shard = _shard(texts)
+        assert sum(map(len, shard.columns)) * 32 * 12 <= room
+        picks = [np.sort(rng.choice(len(shard.terms), int(n), replace=False)) for n in (0, 1, 7, 60, 30)]
+        at, starts = np.concatenate(picks).astype(np.int64), np.cumsum([0, *map(len, picks)])
+        idf = np.round(rng.random(len(at)) * 3, 2) + 0.01
+        for floor in (None, np.array([0.0, 1.0, 2.0, 30.0, 0.0])):
+            query, keys, scores = shard.top(starts, at, idf, 6, floor)
+            for q in range(5):
+                total = np.zeros(len(texts))
+                for a, w in zip(at[starts[q] : starts[q + 1]], idf[starts[q] : starts[q + 1]], strict=True):
+                    p = slice(shard.pointers[a], shard.pointers[a + 1])
+                    total[shard.posts[p]] += w * shard.weights[p]
+                total = np.round(total, 6)
+                order = [i for i in np.lexsort((shard.keys, -total))[:6] if total[i] > 0 and (floor is None or total[i] >= floor[q])]
+                assert keys[query == q].tolist() == shard.keys[order].tolist() and np.allclose(scores[query == q], total[order], atol=2e-6)
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert search.search(none, none).count() == 0
