@@ -31,11 +31,11 @@ from .common import checkpoint, table
 K1, B = 1.2, 0.75
 BLOCK, PART, TILE = 32, 256, 1024
 #: So many documents of a tile make a term a dense column there, and so much memory may a shard's dense columns take.
-DENSE, DENSE_BYTES = 48, 160 << 20
+DENSE, DENSE_BYTES = 64, 160 << 20
 #: Scores are compared after rounding to so many digits; bounds give way by more than that.
 DIGITS, SLACK = 6, 2e-6
 #: So many queries are scored together in a shard.
-QUERIES_AT_ONCE = 512
+QUERIES_AT_ONCE = 256
 #: Rare postings are kept in lanes of so many.
 LANE = 4
 #: So many rare postings are unfolded at once, few enough for a core's cache.
@@ -43,9 +43,9 @@ POSTS_AT_ONCE = 1 << 17
 #: Blocks that a query without a threshold opens in each round, those with the best bounds; 0 means all that its threshold leaves.
 ROUNDS = (8, 0)
 #: So many blocks of queries are searched while a shard is open.
-BLOCKS_AT_ONCE = 5
-#: One in so many shards is searched first.
-SCOUTS = 8
+BLOCKS_AT_ONCE = 8
+#: One in so many shards is searched first, then one in so many; the second number divides the first.
+SCOUTS = (64, 8)
 
 
 def terms_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -319,15 +319,15 @@ def query_terms(queries: DataFrame, key: str = "doc_id", text: str = "text") ->
     return queries.select(F.col(key).cast("long").alias("query_id"), text).mapInArrow(run, "query_id long, term long")
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text", block_terms: int = 1_500_000) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text", block_terms: int = 1_000_000) -> DataFrame:
     """query_id, rank (from 1), doc_id and score: each query's k best documents by BM25 over its distinct words.
 
     Equal scores go by key. Documents without a word of the query are never returned, so a query without words has no
     rows; neither has one with a null key. Rows that repeat a query's key are one query of all their words; repeated
     documents are documents. Queries are dealt into blocks of about ``block_terms`` terms by a hash of their key; a
     block is what is collected and broadcast at once, and ``BLOCKS_AT_ONCE`` of them are searched in one reading of the
-    shards. One shard in ``SCOUTS`` is searched first: the k-th best score that a query has
-    there is the threshold that it starts with in all others. Shards and query weights are written to the shared folder,
+    shards. A few shards are searched first, as ``SCOUTS`` says: the k-th best score that a query has there is the
+    threshold that it starts with in the others. Shards and query weights are written to the shared folder,
     so a lost executor costs only the shards that it was searching. Words are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
@@ -349,7 +349,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id"
     weight = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = checkpoint(asked.join(df, "term").select("query_id", "term", weight.alias("idf")))
     blocks = max(1, math.ceil(weighted.count() / block_terms))
-    scout = F.pmod(F.xxhash64("docs"), F.lit(SCOUTS)) == 0
+    few, more = (F.pmod(F.xxhash64("docs"), F.lit(x)) == 0 for x in SCOUTS)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     found = []
     for a in range(0, blocks, BLOCKS_AT_ONCE):
         names, shared = [], []
@@ -363,13 +364,14 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id"
             continue
         every = np.concatenate(names)
         sorter, floor, cuts = np.argsort(every), np.zeros(len(every)), np.cumsum([len(x) for x in names])[:-1]
-        first = _searched(shards.where(scout), shared, np.split(floor, cuts), words / n, k)
-        reached = first.where(F.col("rank") == k).select("query_id", "score").toArrow()  # a row for each query of these blocks at most
-        floor[sorter[np.searchsorted(every, reached.column("query_id").to_numpy(), sorter=sorter)]] = reached.column("score").to_numpy()
-        rest = _searched(shards.where(~scout), shared, np.split(floor, cuts), words / n, k)
-        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-        both = first.drop("rank").unionByName(rest.drop("rank"))
-        found.append(checkpoint(both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)))
+        hits = []
+        for these in (few, more & ~few, ~more):
+            hits.append(_searched(shards.where(these), shared, np.split(floor, cuts), words / n, k))
+            if len(hits) < 3:
+                reached = hits[-1].where(F.col("rank") == k).select("query_id", "score").toArrow()  # a row for each query of these blocks at most
+                floor[sorter[np.searchsorted(every, reached.column("query_id").to_numpy(), sorter=sorter)]] = reached.column("score").to_numpy()
+        every_hit = reduce(DataFrame.unionByName, hits).withColumn("rank", F.row_number().over(best))
+        found.append(checkpoint(every_hit.where(F.col("rank") <= k)))
     if not found:
         return spark.createDataFrame([], T.StructType.fromDDL("query_id long, rank int, doc_id long, score double"))
     doc = F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id"))
