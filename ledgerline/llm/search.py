@@ -3,8 +3,8 @@
 A shard is a run of documents of an input split: an inverted index in numpy arrays, its documents ordered so that like
 ones stand together and cut into blocks. Terms that many documents near each other have are dense columns there, with
 their largest weight by block; these and what all other terms add bound what a document of the block can score, and
-blocks whose bound is under a query's threshold are not opened. Thresholds start from what a
-few shards that are searched first have found, and rise with the k-th best score. Blocks are opened for many queries
+blocks whose bound is under a query's threshold are not opened. Shards are searched in levels, few first; thresholds start
+from what the levels before have found, and rise with the k-th best score. Blocks are opened for many queries
 together, so their work is array sums and products; queries stand in like order too. Document counts, lengths and frequencies are those of the whole
 corpus, so scores of different shards compare, and the merge of the shards' top k is the exact top k. Queries come in
 blocks of bounded size, several against each shard while it is open.
@@ -44,8 +44,8 @@ POSTS_AT_ONCE = 1 << 17
 ROUNDS = (8, 0)
 #: So many blocks of queries are searched while a shard is open.
 BLOCKS_AT_ONCE = 8
-#: One in so many shards is searched first, then one in so many; the second number divides the first.
-SCOUTS = (64, 8)
+#: Shards are searched in levels, each with those before it so many times what was searched before.
+GROWTH = 4
 
 
 def terms_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -325,16 +325,21 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id"
     Equal scores go by key. Documents without a word of the query are never returned, so a query without words has no
     rows; neither has one with a null key. Rows that repeat a query's key are one query of all their words; repeated
     documents are documents. Queries are dealt into blocks of about ``block_terms`` terms by a hash of their key; a
-    block is what is collected and broadcast at once, and ``BLOCKS_AT_ONCE`` of them are searched in one reading of the
-    shards. A few shards are searched first, as ``SCOUTS`` says: the k-th best score that a query has there is the
-    threshold that it starts with in the others. Shards and query weights are written to the shared folder,
+    block is what is collected and broadcast at once (and has about ``block_terms`` results at most), and
+    ``BLOCKS_AT_ONCE`` of them are searched together. Shards are searched in levels, as ``GROWTH`` says: the k-th best
+    hit that a query has in the levels before, by score and key, is the threshold that it starts with in the next. So a
+    level finds about ``GROWTH`` - 1 times k new hits for a query, and all levels together that times the logarithm of
+    the number of shards; where like documents share shards it may be more, but a task never returns more than k.
+    Shards and query weights are written to the shared folder,
     so a lost executor costs only the shards that it was searching. Words are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
-    shards = checkpoint(index(docs, key, text))
-    n, words = shards.agg(F.sum("n"), F.sum("words")).first()
+    shards = checkpoint(index(docs, key, text).withColumn("shard", F.xxhash64(F.monotonically_increasing_id())))
+    known = shards.select("shard", "n", "words").toArrow()
+    n, words = (pc.sum(known.column(c)).as_py() for c in ("n", "words"))
     if not words:
         return spark.createDataFrame([], T.StructType.fromDDL("query_id long, rank int, doc_id long, score double"))
+    levels = _levels(known.column("shard").to_numpy())
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,8 +353,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id"
     asked = query_terms(queries.where(F.col(key).isNotNull()), key, text).distinct()
     weight = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = checkpoint(asked.join(df, "term").select("query_id", "term", weight.alias("idf")))
-    blocks = max(1, math.ceil(weighted.count() / block_terms))
-    few, more = (F.pmod(F.xxhash64("docs"), F.lit(x)) == 0 for x in SCOUTS)
+    entries, n_queries = weighted.agg(F.count("term"), F.approx_count_distinct("query_id")).first()
+    blocks = max(1, math.ceil(entries / block_terms), math.ceil(n_queries * k / block_terms))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     found = []
     for a in range(0, blocks, BLOCKS_AT_ONCE):
@@ -363,15 +368,19 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id"
         if not names:
             continue
         every = np.concatenate(names)
-        sorter, floor, cuts = np.argsort(every), np.zeros(len(every)), np.cumsum([len(x) for x in names])[:-1]
-        hits = []
-        for these in (few, more & ~few, ~more):
-            hits.append(_searched(shards.where(these), shared, np.split(floor, cuts), words / n, k))
-            if len(hits) < 3:
-                reached = hits[-1].where(F.col("rank") == k).select("query_id", "score").toArrow()  # a row for each query of these blocks at most
-                floor[sorter[np.searchsorted(every, reached.column("query_id").to_numpy(), sorter=sorter)]] = reached.column("score").to_numpy()
-        every_hit = reduce(DataFrame.unionByName, hits).withColumn("rank", F.row_number().over(best))
-        found.append(checkpoint(every_hit.where(F.col("rank") <= k)))
+        sorter, cuts = np.argsort(every), np.cumsum([len(x) for x in names])[:-1]
+        floor, last = np.zeros(len(every)), np.zeros(len(every), dtype=np.int64)
+        held, done = None, F.lit(False)
+        for level in levels:
+            these = F.col("shard") <= level
+            hits = _searched(shards.where(these & ~done), shared, np.split(floor, cuts), np.split(last, cuts), words / n, k)
+            hits = hits if held is None else held.drop("rank").unionByName(hits)
+            held, done = checkpoint(hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)), these
+            if level != levels[-1]:
+                reached = held.where(F.col("rank") == k).select("query_id", "score", "doc_id").toArrow()  # a row for each query of these blocks at most
+                at = sorter[np.searchsorted(every, reached.column("query_id").to_numpy(), sorter=sorter)]
+                floor[at], last[at] = reached.column("score").to_numpy(), reached.column("doc_id").to_numpy()
+        found.append(held)
     if not found:
         return spark.createDataFrame([], T.StructType.fromDDL("query_id long, rank int, doc_id long, score double"))
     doc = F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id"))
@@ -391,20 +400,32 @@ def _held(ids: np.ndarray, terms: np.ndarray, idfs: np.ndarray) -> tuple[np.ndar
     return names[like], np.append(0, np.cumsum(sizes[like])), number[order[_ranges(starts[like], sizes[like])]], distinct, idfs[first]
 
 
-def _searched(shards: DataFrame, shared: list[Broadcast], floors: list[np.ndarray], mean: float, k: int) -> DataFrame:
-    """query_id, doc_id, score and rank of the k best of ``shards`` for each query of ``shared`` (results of ``_held``), but none under its floor. A shard is opened once for them all."""
-    least = shards.sparkSession.sparkContext.broadcast(floors)
+def _levels(shards: np.ndarray) -> list[int]:
+    """Up to which of the shards' numbers each level goes: with those before, ``GROWTH`` times as many as the level before, and the last to all."""
+    numbers, size, ends = np.sort(shards), len(shards), []
+    while size:
+        ends.append(int(numbers[size - 1]))
+        size //= GROWTH
+    return ends[::-1]
+
+
+def _searched(shards: DataFrame, shared: list[Broadcast], floors: list[np.ndarray], lasts: list[np.ndarray], mean: float, k: int) -> DataFrame:
+    """query_id, doc_id and score of what may be among the k best for each query of ``shared`` (results of ``_held``): the k best of each task's ``shards``.
+
+    Only what comes before a query's floor and its key in ``lasts`` is returned. A shard is opened once for all queries.
+    """
+    least = shards.sparkSession.sparkContext.broadcast((floors, lasts))
     schema = T.StructType.fromDDL("query_id long, doc_id long, score double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = [(*s.value, floor.copy()) for s, floor in zip(shared, least.value, strict=True)]
+        asked: list[tuple] = []
         for batch in batches:
             for i in range(batch.num_rows):
                 shard = Shard({c: batch.column(j)[i].as_buffer() for j, c in enumerate(batch.schema.names)}, mean)
                 if not len(shard.terms):
                     continue
-                for names, starts, number, terms, idf, floor in asked:
-                    out = []
+                asked = asked or [(*s.value, Best(k, *x)) for s, *x in zip(shared, *least.value, strict=True)]
+                for names, starts, number, terms, idf, best in asked:
                     known = np.minimum(np.searchsorted(shard.terms, terms), len(shard.terms) - 1)
                     known[shard.terms[known] != terms] = -1
                     for q in range(0, len(names), QUERIES_AT_ONCE):
@@ -413,16 +434,41 @@ def _searched(shards: DataFrame, shared: list[Broadcast], floors: list[np.ndarra
                         at = known[number[a:b]]
                         there = at >= 0
                         own = np.concatenate([[0], np.cumsum(there)])[starts[q : upto + 1] - a]
-                        query, keys, scores = shard.top(own, at[there], idf[number[a:b][there]], k, floor[q:upto])
-                        out.append((query + q, keys, scores))
-                        worst = np.flatnonzero(np.bincount(query, minlength=upto - q) >= k)
-                        floor[q + worst] = np.maximum(floor[q + worst], scores[np.searchsorted(query, worst, "right") - 1])
-                    query, keys, scores = (np.concatenate(x) for x in zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(names[query]), pa.array(keys), pa.array(scores)], names=schema.names)
-
-    hits = shards.select("docs", "lengths", "terms", "pointers", "posts", "counts").mapInArrow(run, schema)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return checkpoint(hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
+                        best.add(q, *shard.top(own, at[there], idf[number[a:b][there]], k, best.floor[q:upto]))
+        for names, *_, best in asked:
+            query, keys, scores = best.hits()
+            yield pa.RecordBatch.from_arrays([pa.array(names[query]), pa.array(keys), pa.array(scores)], names=schema.names)
+
+    return shards.select("docs", "lengths", "terms", "pointers", "posts", "counts").mapInArrow(run, schema)
+
+
+class Best:
+    """The k best hits of a block's queries so far, by score and then key; hits not before a query's ``floor`` and ``last`` are not taken."""
+
+    def __init__(self, k: int, floor: np.ndarray, last: np.ndarray):
+        self.k, self.floor, self.last = k, floor.copy(), last.copy()
+        self.held: dict[int, tuple[np.ndarray, ...]] = {}  # by the first query of those that are searched together
+
+    def add(self, first: int, query: np.ndarray, keys: np.ndarray, scores: np.ndarray) -> None:
+        """Takes hits of queries from ``first`` on, where ``query`` 0 is that."""
+        query = query + first
+        good = (scores > self.floor[query]) | (scores == self.floor[query]) & (keys < self.last[query])
+        if not good.any():
+            return
+        hits = (query[good], keys[good], scores[good])
+        if first in self.held:
+            hits = tuple(map(np.concatenate, zip(self.held[first], hits, strict=True)))
+        query, keys, scores = hits
+        order = np.lexsort((keys, -scores, query))
+        place = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+        full = order[place == self.k - 1]
+        self.floor[query[full]], self.last[query[full]] = scores[full], keys[full]
+        self.held[first] = tuple(x[order[place < self.k]] for x in hits)
+
+    def hits(self) -> tuple[np.ndarray, ...]:
+        """(query, key, score) of all that is held."""
+        none = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+        return tuple(map(np.concatenate, zip(none, *self.held.values(), strict=True)))
 
 
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

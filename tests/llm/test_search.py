@@ -121,6 +121,31 @@ def test_shards_are_read_once_for_several_blocks_of_queries(spark, monkeypatch):
     assert len(passes) == 2 * one  # four blocks and more would have been as many readings
 
 
+def test_rows_made_grow_with_the_queries_not_with_the_shards(spark, monkeypatch):
+    rng = random.Random(11)
+    made, plain = spark.sparkContext.accumulator(0), type(spark.range(0)).mapInArrow
+
+    def counted(df, run, schema):
+        def counting(batches):
+            for batch in run(batches):
+                made.add(batch.num_rows)
+                yield batch
+
+        return plain(df, counting if "_searched" in run.__qualname__ else run, schema)
+
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", counted)
+    index = search.index
+    few = [prose(rng, 12) for _ in range(8)]
+    for partitions, most_docs, texts in ((32, 8192, [prose(rng, 12) for _ in range(320)]), (32, 8192, [rng.choice(few) for _ in range(320)]), (1, 10, [prose(rng, 12) for _ in range(320)]), (1, 10, [rng.choice(few) for _ in range(320)])):
+        monkeypatch.setattr(search, "index", lambda *a, most=most_docs: index(*a, most_docs=most))
+        docs = table(spark, texts, partitions)
+        before = made.value
+        got = sorted(map(tuple, search.search(docs, docs.where("doc_id % 20 = 0"), k=3).collect()))
+        assert [g[:3] for g in got] == [s[:3] for s in sorted(slow(texts, range(320), range(0, 320, 20), 3))]
+        # 32 shards: levels of 2, 6 and 24, each expected to find three times k at most; one task never makes more than k in each
+        assert made.value - before <= 16 * 3 * (12 if partitions > 1 else 3)
+
+
 def test_columns_are_those_of_like_documents():
     rng = np.random.default_rng(9)
     words = [[f"{c}{i}" for i in range(300)] for c in "abc"]
