@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -466,10 +467,11 @@ def live_cursor(spark, sf_dir):
     made = LedgerTable.create(spark, scratch(spark, "cursor"), spec, Policy(auto=False))
     made.upsert(keys.where("k < '5'"))
     cursor = LiveCursor(made, "GE", page=100)
-    seen = [r.k for r in cursor.next_page()]
+    first = cursor.next_df()
     LedgerTable.open(spark, made.store.base, policy=Policy(auto=False)).upsert(keys.where("k >= '5' or k <= '2'"))
-    cursor.page = 50_000
-    return spark.createDataFrame([(k,) for k in [*seen, *(r.k for r in cursor)]], "k string")
+    cursor.page = 0
+    pages = [] if first is None else [first, *cursor.pages()]  # a cursor that found nothing has no key to go on from
+    return reduce(DataFrame.unionByName, pages, spark.createDataFrame([], "k string"))
 
 
 @query("SELECT true AS before, true AS after, CAST(0.5 AS DOUBLE) AS hit_ratio")

@@ -39,3 +39,20 @@ def test_query(spark, duck, name):
     assert sorted(found.columns) == columns
     got = sorted(str([plain(r[c]) for c in columns]) for r in found.collect())
     assert got == sorted(str([plain(r[names.index(c)]) for c in columns]) for r in want.fetchall())
+
+
+def test_live_cursor_keeps_keys_out_of_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    got, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: got.append(rows := collect(df)) or rows)
+    found = entry.queries()["live_cursor"](spark, SF)
+    assert sum(map(len, got)) < 100 < found.count()
+
+
+def test_live_cursor_that_finds_nothing(spark, duck, tmp_path):
+    duck.execute(f"COPY (SELECT * FROM orders WHERE CAST(o_orderkey AS VARCHAR) >= '5') TO '{tmp_path}/orders.parquet'")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    want = con.execute(entry.oracle_sql()["live_cursor"]).fetchall()
+    assert entry.queries()["live_cursor"](spark, str(tmp_path)).count() == len(want) == 0

@@ -162,6 +162,27 @@ def test_live_cursor_sees_rows_ahead(spark, table):
     assert [r.k for r in LiveCursor(table, "EQ", "10")] == ["10"]
 
 
+def test_live_cursor_leaves_pages_where_they_lie(spark, table, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    got, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: got.append(rows := collect(df)) or rows)
+    table.upsert(rows(spark, [(f"{i:04d}", i) for i in range(2000)]))
+    cursor = LiveCursor(table, "GE", page=600)
+    writer = LedgerTable.open(spark, table.store.base, policy=MANUAL)
+    pages = [cursor.next_df()]
+    writer.upsert(rows(spark, [("0001x", -1), ("0600", -2), ("1999x", -3)]))
+    pages.append(cursor.next_df())
+    writer.delete(spark.createDataFrame([("0600",), ("1500",)], "k string"))
+    cursor.page = 0
+    pages += cursor.pages()
+    assert cursor.next_df() is None and max(map(len, got)) < 100
+    got = [[(r.k, r.v) for r in collect(p)] for p in pages]
+    assert got == [[(f"{i:04d}", i) for i in range(600)], [("0600", -2), *((f"{i:04d}", i) for i in range(601, 1200))], [*((f"{i:04d}", i) for i in range(1200, 2000) if i != 1500), ("1999x", -3)]]
+    for args in ({"op": "LE", "start": "0010", "end": "0002", "page": 4}, {"op": "LT", "start": "0010", "filters": (F.col("v") % 2 == 0,), "limit": 3, "page": 2}, {"op": "EQ", "start": "0007"}, {"op": "GT", "start": "1999x"}):
+        assert [r for p in LiveCursor(table, **args).pages() for r in collect(p)] == list(LiveCursor(table, **args))
+
+
 def test_keyset_pages_cover_all(spark):
     df = spark.createDataFrame([(i % 7, i) for i in range(40)], "a long, b long")
     got, last = [], None
