@@ -13,6 +13,9 @@ from ..sources.store import checkpoint
 from .order import nearest, neighbours, ranked
 from .scan import bound_of
 
+#: Rows that a removal gives a task, about, where the session's number of partitions would give it more.
+ROWS = 500_000
+
 
 @dataclass(frozen=True)
 class Ordered:
@@ -43,7 +46,7 @@ class Ordered:
         """Takes away one row for each row of ``keys``, as long as there are any; missing keys do nothing.
 
         Copies of a key are counted where they lie, part by part, and each part is told how many of its own go. So the
-        copies of a key never come together, however many there are.
+        copies of a key never come together, however many there are. A task has about ``ROWS`` rows, however many there are.
         """
         return self._without(keys, list(self.keys))
 
@@ -52,15 +55,25 @@ class Ordered:
         return self._without(rows, self.df.columns)
 
     def _without(self, rows: DataFrame, columns: list[str]) -> Ordered:
-        key = F.struct(*columns)  # as structs, nulls equal each other
-        wanted = rows.select(key.alias("_key")).groupBy("_key").agg(F.count("*").alias("_n"))
-        here = checkpoint(self.df.withColumns({"_key": key, "_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()}))
-        there = here.groupBy("_key", "_part").agg(F.count("*").alias("_there")).join(wanted, "_key")
-        before = F.coalesce(F.sum("_there").over(Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        quota = checkpoint(there.select("_key", "_part", F.least("_there", F.col("_n") - before).alias("_go")).where("_go > 0"))
-        own = F.row_number().over(Window.partitionBy("_key", "_part").orderBy("_id"))
-        left = here.join(quota, ["_key", "_part"], "left").withColumn("_own", own)
-        return replace(self, df=left.where(F.col("_own") > F.coalesce("_go", F.lit(0))).select(*self.df.columns))
+        key = F.struct(*columns).alias("_key")  # as structs, nulls equal each other
+        own = F.struct(*self.df.columns).alias("_row")
+        asked = rows.select(F.lit(None).cast(self.df.select(own).schema["_row"].dataType).alias("_row"), key, F.lit(True).alias("_asked"))
+        both = self.df.select(own, key, F.lit(False).alias("_asked")).union(asked)
+        both = checkpoint(both.withColumns({"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()}))
+        tasks = -(-both.count() // ROWS)
+        few = tasks <= int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+        def dealt(df: DataFrame, *by: str) -> DataFrame:
+            return df if few else df.repartition(tasks, *by)
+
+        place = Window.partitionBy("_key").orderBy(F.desc("_asked"), "_part").rowsBetween(Window.unboundedPreceding, -1)  # what is asked for comes first
+        here = dealt(both.select("_key", "_part", "_asked"), "_key", "_part").groupBy("_key", "_part", "_asked").agg(F.count("*").alias("_n"))
+        wanted = F.sum(F.when(F.col("_asked"), F.col("_n")).otherwise(-F.col("_n"))).over(place)
+        quota = dealt(here, "_key").withColumn("_go", F.least("_n", F.coalesce(wanted, F.lit(0)))).where("not _asked and _go > 0")
+        quota = dealt(checkpoint(quota.select("_key", "_part", "_go")), "_key", "_part")
+        numbered = F.row_number().over(Window.partitionBy("_key", "_part").orderBy("_id"))
+        left = dealt(both.where("not _asked"), "_key", "_part").withColumn("_own", numbered).join(quota, ["_key", "_part"], "left")
+        return replace(self, df=left.where(F.col("_own") > F.coalesce("_go", F.lit(0))).select("_row.*"))
 
     def remove_key(self, *key) -> Ordered:
         schema = ", ".join(f"`{k}` {self.df.schema[k].dataType.simpleString()}" for k in self.keys)

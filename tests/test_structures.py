@@ -193,6 +193,41 @@ def test_removal_from_a_key_with_most_rows(spark):
     assert [r.k for r in rest.items()] == [1, 2] and at is None
 
 
+@pytest.mark.parametrize("task_rows", [20, 10**6])
+def test_removal_against_counters(spark, monkeypatch, task_rows):
+    from collections import Counter
+
+    from ledgerline.operators import container
+
+    monkeypatch.setattr(container, "ROWS", task_rows)
+    rng = random.Random(7)
+    pick = lambda n: [(rng.choice([None, 1, 1, 1, *range(40)]), rng.choice(["a", "b", None])) for _ in range(n)]
+    held, asked = pick(1500), pick(700)
+    t = Ordered(spark.createDataFrame(held, "k long, v string").repartition(5), ("k",))
+    rows = spark.createDataFrame(asked, "k int, v string").repartition(3)
+    left, items = t.remove(rows), t.remove_items(rows.select("v", "k"))
+    assert left.df.dtypes == items.df.dtypes == t.df.dtypes
+    assert Counter(r.k for r in left.df.collect()) == Counter(k for k, _ in held) - Counter(k for k, _ in asked)
+    assert not Counter(map(tuple, left.df.collect())) - Counter(held)
+    assert Counter(map(tuple, items.df.collect())) == Counter(held) - Counter(asked)
+    assert sorted(map(str, left.df.collect())) == sorted(map(str, left.df.collect()))
+    assert t.remove(rows.limit(0)).count() == 1500 and t.clear().remove(rows).count() == 0
+
+
+def test_removal_takes_more_tasks_for_more_rows(spark, monkeypatch):
+    from ledgerline.operators import container
+
+    monkeypatch.setattr(container, "ROWS", 200, raising=False)
+    most = []
+    for n in (4000, 16000):
+        t = Ordered(spark.range(n).withColumnRenamed("id", "k"), ("k",))
+        left = t.remove(t.df.where("k % 2 = 0")).df
+        sizes = [r["count"] for r in left.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(sizes) == n // 2
+        most.append(max(sizes))
+    assert max(most) < 200
+
+
 def test_codec_primitives(spark):
     out = spark.createDataFrame([(True, bytearray(b"abcdef"))], "b boolean, d binary")
     got = out.select(codec.boolean(F.col("b")).alias("b"), codec.from_boolean(codec.boolean(~F.col("b"))).alias("n"), codec.from_boolean(F.unhex(F.lit("02"))).alias("bad"), codec.section(F.col("d"), 2, 3).alias("s"), codec.section(F.col("d"), 4, 3).alias("torn")).first()
